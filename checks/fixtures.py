@@ -1,7 +1,6 @@
 """Views over the given tables that the registered queries run on, in SQL that both engines read.
 
-``BROUND(`` stands for half-even rounding and ``DAYNO(`` for the day number of a
-date; the engines name these two differently.
+``DAYNO(`` stands for the day number of a date, which the engines name differently.
 """
 
 from __future__ import annotations
@@ -13,11 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline import constants as K
+from sightline.functions.numeric import derived_psf
 from sightline.operators import history, lifecycle
 from sightline.operators.filters import Filters
 
 OBS = """
-SELECT o.*, BROUND(CASE WHEN rent_hkd > 0 THEN rent_hkd END / usable_area_sqft, 2) AS price_per_sqft FROM (
 SELECT event_id AS obs_id,
        CAST(ts AS DATE) AS run_date,
        CAST(DAYNO(CAST(ts AS DATE)) AS INT) AS run_id,
@@ -36,7 +35,7 @@ SELECT event_id AS obs_id,
        'district' || CAST(user_id % 3 AS VARCHAR(20)) AS district,
        CAST(CASE WHEN event_id % 37 = 0 THEN NULL WHEN event_id % 101 = 0 THEN 0 ELSE 5000 + floor(value * 100) END AS INT) AS rent_hkd,
        CAST(200 + (user_id * 37) % 700 AS INT) AS usable_area_sqft
-FROM events) o
+FROM events
 """
 
 RUNS = """
@@ -105,12 +104,10 @@ FILTERS = Filters(
 
 
 def spark_sql(text: str) -> str:
-    text = text.replace("BROUND(", "bround(")
     return re.sub(r"DAYNO\((CAST\(ts AS DATE\))\)", r"datediff(\1, DATE '2023-12-31')", text)
 
 
 def duck_sql(text: str) -> str:
-    text = text.replace("BROUND(", "round_even(")
     return re.sub(r"DAYNO\((CAST\(ts AS DATE\))\)", r"datediff('day', DATE '2023-12-31', \1)", text)
 
 
@@ -131,7 +128,8 @@ class Tables:
 
     @cached_property
     def obs(self) -> DataFrame:
-        return self._view(OBS, events=self.table("events"))
+        psf = derived_psf(F.lit(None).cast("double"), F.col("rent_hkd"), F.col("usable_area_sqft"))
+        return self._view(OBS, events=self.table("events")).withColumn("price_per_sqft", psf)
 
     @cached_property
     def runs(self) -> DataFrame:

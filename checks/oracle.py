@@ -55,6 +55,12 @@ def sha(x: str, n: int = 20) -> str:
     return f"left(sha1({x}), {n})"
 
 
+def psf(rent: str, area: str) -> str:
+    """Exact half-even rounding of a ratio to two digits."""
+    ratio = f"CAST({rent} AS DOUBLE) / {area}"
+    return f"CASE WHEN {rent} <> 0 AND {area} <> 0 THEN CAST(printf('%.2f', {ratio}) AS DOUBLE) END"
+
+
 def identity(t: str = "") -> str:
     num = lambda c: f"coalesce(CAST(nullif({c}, 0) AS VARCHAR), '')"
     parts = [key(f"{t}estate_name"), key(f"{t}block"), key(f"{t}floor"), key(f"{t}flat"), num(f"{t}usable_area_sqft")]
@@ -70,7 +76,7 @@ _LATEST = ["title", "estate_name", "block", "floor", "flat", "layout", "district
 _ACTIVE_AT = "first_seen_at <= c AND (first_missing_at IS NULL OR first_missing_at > c OR (active AND last_seen_at <= c))"
 
 CTES = {
-    "obs": f"SELECT b.*, run_id * 1000000000000 + obs_id AS ord FROM ({X.duck_sql(X.OBS)}) b",
+    "obs": f"SELECT b.*, {psf('rent_hkd', 'usable_area_sqft')} AS price_per_sqft, run_id * 1000000000000 + obs_id AS ord FROM ({X.duck_sql(X.OBS)}) b",
     "runs": X.RUNS,
     "site_runs": """SELECT st.source_site, r.run_id, r.started_at, r.mode,
         (r.mode <> 'initial' AND (r.run_id * 7 + length(st.source_site) * 3) % 4 <> 0) AS eligible

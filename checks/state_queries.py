@@ -177,7 +177,7 @@ def _report(t: Tables) -> DataFrame:
 register("k10_daily_report", _report)
 register("k11_layout_history", lambda t: D.layout_history(t.obs, t.listings, t.intervals, t.runs, date(2024, 1, 5), date(2024, 1, 30)).select(
             "report_date", "layout", "count", "avg_rent", "median_rent", "avg_psf"),
-         """SELECT CAST(run_date AS VARCHAR) AS report_date, coalesce(nullif(coalesce(o.layout, l.layout), ''), '未标明') AS layout, count(*) AS count,
+         """SELECT CAST(a.run_date AS VARCHAR) AS report_date, coalesce(nullif(coalesce(o.layout, l.layout), ''), '未标明') AS layout, count(*) AS count,
             round(avg(coalesce(o.rent_hkd, l.last_rent_hkd)), 6) AS avg_rent, round(median(coalesce(o.rent_hkd, l.last_rent_hkd)), 6) AS median_rent,
             round(avg(coalesce(o.price_per_sqft, l.last_price_per_sqft)), 6) AS avg_psf
             FROM (SELECT DISTINCT r.run_date, r.started_at, iv.listing_id FROM runs r JOIN iv ON iv.start_at <= r.started_at AND (iv.end_at IS NULL OR iv.end_at > r.started_at)

@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 
 from sightline import constants as K
 from sightline.functions.text import (
-    any_of, blank_to_null, canonical_of_loose, fold_term, key_of_nfkc, loose_of_nfkc, parse_int, stable_hash, strip,
+    any_of, blank_to_null, canonical_of_loose, fold_term, key_of_nfkc, known, let, loose_of_nfkc, parse_int, stable_hash,
+    strip,
 )
 
 
 def _first(text: Column, patterns: list[str], flags: str = "(?U)") -> Column:
-    return F.coalesce(*[blank_to_null(F.regexp_extract(text, flags + p, 1)) for p in patterns])
+    return F.coalesce(*[known(F.regexp_extract(text, flags + p, 1)) for p in patterns])
 
 
 def _last(text: Column, patterns: list[str], flags: str = "(?iU)") -> Column:
@@ -38,7 +39,7 @@ def base_url(site: Column) -> Column:
 def source_listing_id(site: Column, url: Column, text: Column) -> Column:
     """Listing id found by the patterns of the site in URL and text, else a hash of the URL."""
     combined = F.concat_ws(" ", url, F.coalesce(text, F.lit("")))
-    found = _sites(site, lambda e: F.upper(_first(combined, e["ids"], "(?iU)")))
+    found = let(combined, lambda c: _sites(site, lambda e: F.upper(_first(c, e["ids"], "(?iU)"))))
     return F.coalesce(found, stable_hash(F.coalesce(blank_to_null(url), text), 20))
 
 
@@ -65,9 +66,12 @@ def parse_price_per_sqft(text: Column) -> Column:
 
 
 def parse_layout(text: Column) -> Column:
+    def layout(phrase: Column) -> Column:
+        rooms = known(F.regexp_extract(phrase, r"^([0-9一二两兩三四五六七八九十]房)", 1))
+        return F.when(phrase.rlike("厅|廳"), phrase).otherwise(F.coalesce(rooms, phrase))
+
     phrase = F.regexp_replace(_first(text, K.LAYOUT_PATTERNS), r"(?U)\s+", "")
-    rooms = blank_to_null(F.regexp_extract(phrase, r"^([0-9一二两兩三四五六七八九十]房)", 1))
-    return canonical_of_loose(F.when(~phrase.rlike("厅|廳"), F.coalesce(rooms, phrase)).otherwise(phrase))
+    return canonical_of_loose(let(phrase, layout))
 
 
 def parse_floor(text: Column) -> Column:
@@ -89,23 +93,28 @@ def remove_leading_tags(text: Column) -> Column:
 
 def estate_head(text: Column, layout: Column) -> Column:
     """Part of the text in front of the first stop token, without tags."""
-    work = remove_leading_tags(text)
-    at = F.locate("bookmark", work)
-    work = F.when(at > 0, strip(F.substr(work, at + 8))).otherwise(work)
-    stops = [F.locate(token, work) for token in K.ESTATE_STOPS] + [F.coalesce(F.position(layout, work), F.lit(0))]
-    stop = F.array_min(F.filter(F.array(*stops), lambda p: p > 0))
-    return F.when(stop.isNotNull(), F.left(work, stop - 1)).otherwise(work)
+
+    def after_bookmark(work: Column) -> Column:
+        return F.when(work.contains("bookmark"), strip(F.substr(work, F.locate("bookmark", work) + 8))).otherwise(work)
+
+    def before_stop(work: Column) -> Column:
+        stops = [F.locate(token, work) for token in K.ESTATE_STOPS] + [F.coalesce(F.position(layout, work), F.lit(0))]
+        first = F.array_min(F.filter(F.array(*stops), lambda p: p > 0))
+        return F.coalesce(F.left(work, first - 1), work)
+
+    return let(let(remove_leading_tags(text), after_bookmark), before_stop)
 
 
 def estate_of_head(head: Column, terms: list[str]) -> Column:
-    work = F.trim(F.regexp_replace(F.regexp_replace(head, r"(?U)\b(?:VR|AI)\b", " "), r"(?U)\s+", " "))
-    unit = blank_to_null(strip(F.regexp_extract(work, "(?iU)" + K.UNIT_PATTERN, 1)))
-    words = F.array_join(F.slice(F.split(work, " "), 1, 4), " ")
-    name = F.coalesce(unit, words)
+    def unit_or_words(work: Column) -> Column:
+        unit = known(strip(F.regexp_extract(work, "(?iU)" + K.UNIT_PATTERN, 1)))
+        return F.coalesce(unit, F.array_join(F.slice(F.split(work, " "), 1, 4), " "))
+
+    name = let(F.trim(F.regexp_replace(F.regexp_replace(head, r"(?U)\b(?:VR|AI)\b", " "), r"(?U)\s+", " ")), unit_or_words)
     for term in sorted((t for t in terms if t), key=len, reverse=True):
         name = strip(F.regexp_replace(name, rf"(?U)\s+\Q{term}\E$", ""))
     name = strip(F.regexp_replace(name, "(?U)" + K.ESTATE_PREFIX_PATTERN, ""))
-    return blank_to_null(loose_of_nfkc(name))
+    return known(loose_of_nfkc(name))
 
 
 def parse_estate(text: Column, layout: Column, terms: list[str]) -> Column:
@@ -114,6 +123,9 @@ def parse_estate(text: Column, layout: Column, terms: list[str]) -> Column:
 
 def parse_district(text: Column, terms: list[str]) -> Column:
     """First of ``terms`` that the text contains."""
-    key = key_of_nfkc(text)
-    found = [F.when(key.contains(fold_term(t)), F.lit(t)) for t in terms if t]
-    return reduce(lambda a, b: F.coalesce(a, b), found, F.lit(None).cast("string"))
+
+    def first(key: Column) -> Column:
+        found = [F.when(key.contains(fold_term(t)), F.lit(t)) for t in terms if t]
+        return reduce(lambda a, b: F.coalesce(a, b), found, F.lit(None).cast("string"))
+
+    return let(key_of_nfkc(text), first)

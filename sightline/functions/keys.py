@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sightline.functions.text import blank_to_null, normalize_text, stable_hash
+from sightline.functions.text import blank_to_null, let, normalize_text, stable_hash
 
 
 def source_key(site: Column, listing_id: Column, url: Column) -> Column:
@@ -24,12 +24,20 @@ def identity_key(
 ) -> Column:
     """Hash of estate, unit and area; where one of them is unknown, of estate or title, layout, area and rent."""
     either = F.coalesce(blank_to_null(block), building)
-    parts = [normalize_text(estate), normalize_text(either), normalize_text(floor), normalize_text(flat), _number(area)]
-    unit_known = (parts[1] != "") | (parts[2] != "") | (parts[3] != "")
-    primary = F.concat_ws("|", *parts)
-    name = normalize_text(F.coalesce(blank_to_null(estate), title))
-    fallback = F.concat_ws("|", name, normalize_text(layout), _number(area), _number(rent))
-    return stable_hash(F.when((parts[0] != "") & unit_known & (parts[4] != ""), primary).otherwise(fallback), 20)
+    name = F.coalesce(blank_to_null(estate), title)
+    parts = F.struct(
+        normalize_text(estate).alias("estate"), normalize_text(either).alias("block"), normalize_text(floor).alias("floor"),
+        normalize_text(flat).alias("flat"), _number(area).alias("area"), normalize_text(name).alias("name"),
+        normalize_text(layout).alias("layout"), _number(rent).alias("rent"),
+    )
+
+    def text(p: Column) -> Column:
+        unit_known = F.concat(p["block"], p["floor"], p["flat"]) != ""
+        primary = F.concat_ws("|", *[p[f] for f in ("estate", "block", "floor", "flat", "area")])
+        fallback = F.concat_ws("|", *[p[f] for f in ("name", "layout", "area", "rent")])
+        return F.when((p["estate"] != "") & unit_known & (p["area"] != ""), primary).otherwise(fallback)
+
+    return stable_hash(let(parts, text), 20)
 
 
 def canonical_id(identity: Column, source: Column) -> Column:

@@ -12,9 +12,26 @@ def _nonzero(col: Column) -> Column:
     return F.when(col != 0, col)
 
 
+def round2(x: Column) -> Column:
+    """Non-negative double to two digits, half-even on its exact binary value.
+
+    ``round`` and ``bround`` look at the printed decimal, so that 70.695, which is
+    stored slightly lower, would go up. The distance to the half-way point
+    ``(2m + 1) / 200`` is exact here: ``x`` is split in two parts short enough that
+    no product is rounded.
+    """
+    m = F.floor(x * 100)
+    big = x * 134217729.0
+    high = big - (big - x)
+    over = (high * 200 - (m * 2 + 1)) + (x - high) * 200
+    up = (over > 0) | ((over == 0) & (m % 2 == 1))
+    return F.when(up, (m + 1) / 100.0).otherwise(m / 100.0)
+
+
 def derived_psf(psf: Column, rent: Column, area: Column) -> Column:
-    """Price per area unit, half-even to two digits, where it is not given."""
-    return F.coalesce(psf, F.bround(F.try_divide(_nonzero(rent).cast("double"), _nonzero(area).cast("double")), 2))
+    """Price per area unit to two digits, where it is not given."""
+    ratio = F.try_divide(_nonzero(rent).cast("double"), _nonzero(area).cast("double"))
+    return F.coalesce(psf, F.when(ratio.isNotNull(), round2(ratio)))
 
 
 def ratio_close(a: Column, b: Column, tolerance: float) -> Column:
@@ -101,7 +118,7 @@ def nice_step(value: Column) -> Column:
     v = F.when(value > 0, value.cast("double"))
     unit = F.pow(F.lit(10.0), F.floor(F.log10(v)))
     step = F.when(unit >= v, unit).when(unit * 2 >= v, unit * 2).when(unit * 5 >= v, unit * 5).otherwise(unit * 10)
-    return F.coalesce(F.greatest(F.lit(500), step.cast("bigint")), F.lit(1000))
+    return F.when(v.isNotNull(), F.greatest(F.lit(500), step.cast("bigint"))).otherwise(F.lit(1000))
 
 
 def date_in_range(text: Column, after: Column, upto: Column) -> Column:

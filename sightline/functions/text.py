@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -37,10 +37,23 @@ def simplify(col: Column) -> Column:
     return F.translate(col, K.TRAD, K.SIMP)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it.
+
+    A Python UDF may stand in ``value`` but not in ``body``.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def blank_to_null(col: Column) -> Column:
     return F.when(col != "", col)
 
 
+def known(value: Column) -> Column:
+    """``blank_to_null`` of a value that is worth computing once."""
+    return let(value, blank_to_null)
+
+
 def strip(col: Column) -> Column:
     return F.regexp_replace(col, rf"(?U)^{WS}+|{WS}+$", "")
 
@@ -84,18 +97,21 @@ def parse_int(col: Column) -> Column:
 def _digit(col: Column) -> Column:
     names = "".join(K.CHINESE_DIGITS)
     values = "".join(str(v) for v in K.CHINESE_DIGITS.values())
-    return F.when(col.rlike(f"^[{names}]$"), F.translate(col, names, values).try_cast("int"))
+    return let(col, lambda x: F.when(x.rlike(f"^[{names}]$"), F.translate(x, names, values).try_cast("int")))
 
 
 def _chinese_int(key: Column) -> Column:
-    left = F.substring_index(key, "十", 1)
-    right = F.substr(key, F.locate("十", key) + 1)
-    return (
-        F.when(key.rlike("^[0-9]+$"), key.try_cast("int"))
-        .when(key == "十", F.lit(10))
-        .when(key.contains("十"), F.coalesce(_digit(left), F.lit(1)) * 10 + F.coalesce(_digit(right), F.lit(0)))
-        .otherwise(_digit(key))
-    )
+    def value(k: Column) -> Column:
+        tens = F.coalesce(_digit(F.substring_index(k, "十", 1)), F.lit(1))
+        ones = F.coalesce(_digit(F.substr(k, F.locate("十", k) + 1)), F.lit(0))
+        return (
+            F.when(k.rlike("^[0-9]+$"), k.try_cast("int"))
+            .when(k == "十", F.lit(10))
+            .when(k.contains("十"), tens * 10 + ones)
+            .otherwise(_digit(k))
+        )
+
+    return let(key, value)
 
 
 def parse_chinese_int(col: Column) -> Column:
@@ -103,28 +119,35 @@ def parse_chinese_int(col: Column) -> Column:
 
 
 def bedrooms_of_loose(loose: Column) -> Column:
-    low = F.lower(loose)
-    studio = F.lit(False)
-    for word in K.STUDIO_WORDS:
-        studio = studio | low.contains(word)
-    rooms = K.ROOM_WORDS_CN
-    digit = F.regexp_extract(low, rf"(?U)(\d+)[\s-]*(?:{rooms}|bedrooms?|beds?|br\b)", 1).try_cast("int")
-    words = "|".join(K.ENGLISH_DIGITS)
-    word = F.regexp_extract(low, rf"(?U)\b({words})[\s-]*(?:bedrooms?|beds?|br)\b", 1)
-    english = F.array_position(F.array(*[F.lit(w) for w in K.ENGLISH_DIGITS]), word).cast("int") - 1
-    numeral = F.regexp_extract(loose, rf"(?U)([{K.CHINESE_ROOM_DIGITS}]+)\s*(?:{rooms})", 1)
-    return F.when(studio, F.lit(0)).otherwise(
-        F.coalesce(digit, F.when(english >= 0, english), _chinese_int(key_of_nfkc(numeral)))
-    )
+    rooms, words = K.ROOM_WORDS_CN, "|".join(K.ENGLISH_DIGITS)
+    numbers = F.array(*[F.lit(w) for w in K.ENGLISH_DIGITS])
+
+    def in_digits(low: Column) -> Column:
+        return F.regexp_extract(low, rf"(?U)(\d+)[\s-]*(?:{rooms}|bedrooms?|beds?|br\b)", 1).try_cast("int")
+
+    def in_english(low: Column) -> Column:
+        word = F.regexp_extract(low, rf"(?U)\b({words})[\s-]*(?:bedrooms?|beds?|br)\b", 1)
+        return F.array_position(numbers, known(word)).cast("int") - 1
+
+    def in_chinese(text: Column) -> Column:
+        return _chinese_int(key_of_nfkc(F.regexp_extract(text, rf"(?U)([{K.CHINESE_ROOM_DIGITS}]+)\s*(?:{rooms})", 1)))
+
+    def count(x: Column) -> Column:
+        studio = any_of(x["low"].contains(word) for word in K.STUDIO_WORDS)
+        return F.when(studio, F.lit(0)).otherwise(
+            F.coalesce(in_digits(x["low"]), in_english(x["low"]), in_chinese(x["text"]))
+        )
+
+    return let(F.struct(F.lower(loose).alias("low"), loose.alias("text")), count)
 
 
 def canonical_of_loose(loose: Column) -> Column:
-    count = bedrooms_of_loose(loose)
-    return (
-        F.when(count == 0, F.lit(K.STUDIO))
-        .when(count.isNotNull(), F.concat(count.cast("string"), F.lit(K.ROOM)))
-        .otherwise(loose)
-    )
+    def layout(x: Column) -> Column:
+        count, text = x["count"], x["text"]
+        rooms = F.concat(count.cast("string"), F.lit(K.ROOM))
+        return F.when(count == 0, F.lit(K.STUDIO)).otherwise(F.coalesce(rooms, text))
+
+    return let(loose, lambda t: let(F.struct(bedrooms_of_loose(t).alias("count"), t.alias("text")), layout))
 
 
 def layout_bedroom_count(col: Column) -> Column:
@@ -138,7 +161,7 @@ def canonical_layout(col: Column) -> Column:
 
 def text_variants(col: Column) -> Column:
     """Distinct non-empty script variants of a term, in a fixed order."""
-    return _variants(strip(nfkc(F.coalesce(col, F.lit("")))))
+    return let(strip(nfkc(F.coalesce(col, F.lit("")))), _variants)
 
 
 def _variants(base: Column) -> Column:
@@ -160,7 +183,7 @@ def _nfkc_elements(arr: Column) -> Column:
 def area_terms(area: Column, aliases: Column) -> Column:
     """Ordered distinct variants of an area name and its aliases (array column)."""
     names = _nfkc_elements(F.concat(F.array(F.coalesce(area, F.lit(""))), F.coalesce(aliases, F.array().cast("array<string>"))))
-    return F.array_distinct(F.flatten(F.transform(names, lambda x: _variants(strip(x)))))
+    return F.array_distinct(F.flatten(F.transform(names, lambda x: let(strip(x), _variants))))
 
 
 def split_terms(col: Column) -> Column:
@@ -190,7 +213,7 @@ def key_contains_any(key: Column, terms: Iterable[str]) -> Column:
 
 
 def contains_any(col: Column, terms: Iterable[str]) -> Column:
-    return key_contains_any(normalize_text(col), terms)
+    return let(normalize_text(col), lambda key: key_contains_any(key, terms))
 
 
 def unit_text(*parts: Column) -> Column:

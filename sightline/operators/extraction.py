@@ -30,9 +30,9 @@ def clean_observations(df: DataFrame) -> DataFrame:
     extra = [c for c in ("page_id", "run_id", "fetched_at", "updated_at_text", "tags") if c in df.columns]
     out = df.select(*extra, *have)
     return out.withColumns(
-        {f: T.blank_to_null(T.normalize_loose(F.col(f))) for f in LOOSE_FIELDS}
+        {f: T.known(T.normalize_loose(F.col(f))) for f in LOOSE_FIELDS}
         | {
-            "layout": T.blank_to_null(T.canonical_layout(F.col("layout"))),
+            "layout": T.known(T.canonical_layout(F.col("layout"))),
             "price_per_sqft": numeric.derived_psf(F.col("price_per_sqft"), F.col("rent_hkd"), F.col("usable_area_sqft")),
             "source_key": keys.source_key(F.col("source_site"), F.col("source_listing_id"), F.col("source_url")),
         }
@@ -66,8 +66,9 @@ def parse_cards(cards: DataFrame, terms: list[str]) -> DataFrame:
     """Rows (source_site, source_url, text, ...) to observations; dropped if rent, area and layout are all missing."""
     t = F.col("_t")
     df = cards.withColumn("_t", T.normalize_loose(F.col("text"))).drop("text")
-    df = df.withColumns({"rent_hkd": X.parse_rent(t), "usable_area_sqft": X.parse_area(t), "layout": X.parse_layout(t)})
-    df = df.where(F.coalesce(F.col("rent_hkd"), F.col("usable_area_sqft")).isNotNull() | F.col("layout").isNotNull())
+    found = F.struct(X.parse_rent(t).alias("rent_hkd"), X.parse_area(t).alias("usable_area_sqft"), X.parse_layout(t).alias("layout"))
+    some = F.filter(F.array(found), lambda f: F.coalesce(f["rent_hkd"].cast("string"), f["usable_area_sqft"].cast("string"), f["layout"]).isNotNull())
+    df = df.select("*", F.inline(some))  # a filter would be pushed below the parsing and repeat it
     df = df.withColumns(
         {
             "source_listing_id": X.source_listing_id(F.col("source_site"), F.col("source_url"), t),
@@ -138,7 +139,7 @@ unitPriceInfo struct<nUnitRent:string>, districtName string"""
 
 
 def _loose(col: Column) -> Column:
-    return T.blank_to_null(T.normalize_loose(col))
+    return T.known(T.normalize_loose(col))
 
 
 def _given(*cols: Column) -> Column:
