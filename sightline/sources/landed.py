@@ -71,7 +71,7 @@ def state_items(pages: DataFrame) -> DataFrame:
     posts = state_pages(pages).select("page_id", "run_id", "source_site", F.posexplode("POSTS").alias("pos", "item"))
     keyed = posts.withColumn("_no", F.coalesce("item.postNo", F.lit("")))
     numbered = keyed.where("_no <> ''").groupBy("run_id", "_no").agg(
-        F.min_by(F.struct("source_site", "item"), F.struct("page_id", "pos")).alias("r")
+        F.min_by(F.struct("source_site", "item"), F.struct("page_id", "pos")).alias("_rec")
     )
     return numbered.select("run_id", "_rec.*")
 
