@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,9 @@ from sightline import constants as K
 from sightline.functions.numeric import derived_psf
 from sightline.operators import history, lifecycle
 from sightline.operators.filters import Filters
+from sightline.session import cut
+
+_STORED: dict[tuple[str, str, str], DataFrame] = {}
 
 OBS = """
 SELECT event_id AS obs_id,
@@ -131,17 +135,28 @@ class Tables:
         psf = derived_psf(F.lit(None).cast("double"), F.col("rent_hkd"), F.col("usable_area_sqft"))
         return self._view(OBS, events=self.table("events")).withColumn("price_per_sqft", psf)
 
+    def stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """Derived table, written once per application and data folder and read back, as a run would leave it."""
+        at = (self.spark.sparkContext.applicationId, self.dir, name)
+        if at not in _STORED:
+            _STORED[at] = cut(build(), name)
+        return _STORED[at]
+
     @cached_property
     def runs(self) -> DataFrame:
-        return self._view(RUNS, obs=self.obs)
+        return self.stored("runs", lambda: self._view(RUNS, obs=self.obs))
 
     @cached_property
     def site_runs(self) -> DataFrame:
+        return self.stored("site-runs", self._site_runs)
+
+    def _site_runs(self) -> DataFrame:
         every = self.runs.agg(F.collect_list(F.struct("run_id", "run_date", "started_at", "mode"))).scalar()
         rows = self.obs.select("source_site").distinct().withColumn("r", F.explode(every)).select("source_site", "r.*")
         turn = (F.col("run_id") * 7 + F.length("source_site") * 3) % 4
         return rows.withColumn("eligible", (F.col("mode") != "initial") & (turn != 0))
 
+    # Computed from the log in the query itself.
     @cached_property
     def seen(self) -> DataFrame:
         return lifecycle.sightings(self.obs)
@@ -150,17 +165,27 @@ class Tables:
     def events(self) -> DataFrame:
         return lifecycle.missing_events(self.seen, self.site_runs)
 
+    def build_intervals(self) -> DataFrame:
+        return lifecycle.presence_intervals(self.events)
+
+    def build_state(self) -> DataFrame:
+        return lifecycle.source_state(self.events)
+
+    def build_listings(self) -> DataFrame:
+        return history.listings(self.obs, self.state)
+
+    # The derived tables that reports read.
     @cached_property
     def intervals(self) -> DataFrame:
-        return lifecycle.presence_intervals(self.events)
+        return self.stored("intervals", self.build_intervals)
 
     @cached_property
     def state(self) -> DataFrame:
-        return lifecycle.source_state(self.events)
+        return self.stored("state", self.build_state)
 
     @cached_property
     def listings(self) -> DataFrame:
-        return history.listings(self.obs, self.state)
+        return self.stored("listings", self.build_listings)
 
     @cached_property
     def units(self) -> DataFrame:

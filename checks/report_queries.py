@@ -26,7 +26,7 @@ class Report:
         at = refs["current"].started_at
         self.t, self.at = t, F.lit(at)
         self.start = F.lit(at - timedelta(days=29))
-        self.snap = D.period_snapshots(t.obs, t.listings, t.state, refs)
+        self.snap = t.stored("period-snapshots", lambda: D.period_snapshots(t.obs, t.listings, t.state, refs))
         self.cur, self.prev, self.week = (self.snap.where(F.col("period") == p) for p in ("current", "day", "week"))
         self.day = refs["current"].local_date
 
@@ -95,7 +95,7 @@ _GONE = ["source_key", "first_missing_at", "listing_id", "canonical_id", "estate
 _GONE_SQL = "source_key, CAST(first_missing_at AS VARCHAR) AS first_missing_at, listing_id, canonical_id, estate_name, layout, rent_hkd, round(price_per_sqft, 6) AS price_per_sqft, active"
 report("f8_missing_with_listing", lambda r: R.missing_rows(r.t.state, r.t.listings, r.start, r.at).select(*_GONE),
        f"SELECT {_GONE_SQL} FROM gone, tgt WHERE first_missing_at >= tgt.c - INTERVAL 29 DAY AND first_missing_at <= tgt.c")
-report("f9_period_snapshots", lambda r: r.snap.select("period", "listing_id", "rent_hkd", "layout", "active_source_count", "sample_source_site"),
+register("f9_period_snapshots", lambda t: D.period_snapshots(t.obs, t.listings, t.state, D.periods(t.runs)).select("period", "listing_id", "rent_hkd", "layout", "active_source_count", "sample_source_site"),
        "SELECT period, listing_id, rent_hkd, layout, active_source_count, sample_source_site FROM snap")
 _NEW = ["listing_id", "rent_hkd", "price_per_sqft", "active_source_count", "sample_source_site", "sample_source_url"]
 report("f10_new_with_sources", lambda r: r.new.select(*_NEW), "SELECT listing_id, rent_hkd, round(price_per_sqft, 6) AS price_per_sqft, active_source_count, sample_source_site, sample_source_url FROM newl")

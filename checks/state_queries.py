@@ -100,7 +100,7 @@ register("k1_active_snapshot", lambda t: S.snapshots(t.obs, t.listings, t.state,
             ever_rent_decreased, CAST(first_rent_decrease_at AS VARCHAR) AS first_rent_decrease_at, CAST(last_rent_decrease_at AS VARCHAR) AS last_rent_decrease_at,
             max_seen_rent_hkd, min_seen_rent_hkd, title, estate_name, block, floor, flat, layout, district, rent_hkd, usable_area_sqft,
             round(price_per_sqft, 6) AS price_per_sqft, active_source_count, sample_source_site, sample_source_url FROM cur""")
-register("k2_presence_intervals", lambda t: t.intervals.select(*INTERVAL),
+register("k2_presence_intervals", lambda t: t.build_intervals().select(*INTERVAL),
          "SELECT source_site, source_key, listing_id, start_run, CAST(start_at AS VARCHAR) AS start_at, last_run, end_run, CAST(end_at AS VARCHAR) AS end_at FROM iv")
 register("k2_missing_events", lambda t: t.events.where("missing is not null").select("source_key", "run_id", F.col("missing.run_id").alias("missing_run")),
          "SELECT source_key, run_id, missing_run FROM ev WHERE missing_run IS NOT NULL")
@@ -128,7 +128,7 @@ def _gate(t: Tables) -> DataFrame:
 
 _STATE_SQL = """SELECT source_key, source_site, listing_id, source_url, source_listing_id, CAST(first_seen_at AS VARCHAR) AS first_seen_at,
     CAST(last_seen_at AS VARCHAR) AS last_seen_at, CAST(first_missing_at AS VARCHAR) AS first_missing_at, missing_count, active, last_run_id FROM state"""
-register("k5_source_state", lambda t: t.state, _STATE_SQL)
+register("k5_source_state", lambda t: t.build_state(), _STATE_SQL)
 
 
 def _incremental(t: Tables) -> DataFrame:
@@ -139,7 +139,7 @@ def _incremental(t: Tables) -> DataFrame:
 
 
 register("k5_incremental_state", _incremental, _STATE_SQL)
-register("k6_listings", lambda t: t.listings.select("listing_id", "canonical_id", "identity_key", "first_seen_at", "last_seen_at", "active", "estate_name", "layout",
+register("k6_listings", lambda t: t.build_listings().select("listing_id", "canonical_id", "identity_key", "first_seen_at", "last_seen_at", "active", "estate_name", "layout",
             "last_rent_hkd", "last_price_per_sqft", "ever_rent_decreased", "max_seen_rent_hkd", "min_seen_rent_hkd", "sources_count", "first_delisted_at"),
          """SELECT listing_id, canonical_id, identity_key, CAST(first_seen_at AS VARCHAR) AS first_seen_at, CAST(last_seen_at AS VARCHAR) AS last_seen_at, active, estate_name, layout,
             last_rent_hkd, round(last_price_per_sqft, 6) AS last_price_per_sqft, ever_rent_decreased, max_seen_rent_hkd, min_seen_rent_hkd, sources_count,

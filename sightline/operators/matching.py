@@ -69,6 +69,7 @@ def _common_values(common: Column) -> Column:
 
 def _shared_sets(own: Column, masks: list[int]) -> Column:
     every = F.array(*[F.struct(F.lit(m).alias("other"), own.bitwiseAND(F.lit(m)).alias("common")) for m in masks])
+    every = every.cast("array<struct<other:int,common:int>>")  # the type of an empty list
     return F.filter(every, lambda s: F.bit_count(s["common"]) >= MIN_SHARED)
 
 
@@ -79,17 +80,22 @@ def best_in_reach(probes: DataFrame, candidates: DataFrame, best: Column, probe_
     candidates. Returns the profile columns (mask, fields, rent), ``best``, ``matches``.
     """
     profile = ["mask", *FIELDS, "rent"]
-    p = _comparable(probes).select(*profile).distinct()
-    spread = p.withColumn("s", F.explode(_shared_sets(F.col("mask"), masks))).select(
-        *profile, F.col("s.other").alias("side"), F.col("s.common").alias("common"),
-        _common_values(F.col("s.common")).alias("vals"),
+    # The hash stands first in joins and sorts: one long to compare instead of texts, which still decide.
+    group = ["hash", "side", "common", "vals"]
+    point = [*group, "rent"]
+    spread = (
+        _comparable(probes).select(*profile).distinct()
+        .withColumn("s", F.explode(_shared_sets(F.col("mask"), masks)))
+        .select(*profile, F.col("s.other").alias("side"), F.col("s.common").alias("common"))
+        .withColumn("vals", _common_values(F.col("common")))
+        .withColumn("hash", F.xxhash64("side", "common", "vals"))
     )
     own = F.array_distinct(F.transform(_shared_sets(F.col("mask"), probe_masks), lambda s: s["common"]))
-    point = ["side", "common", "vals", "rent"]
-    reduced = _comparable(candidates).groupBy(*profile).agg(F.min(best).alias("best"), F.count("*").alias("n"))
     cand = (
-        reduced.withColumn("common", F.explode(own))
+        _comparable(candidates).groupBy(*profile).agg(F.min(best).alias("best"), F.count("*").alias("n"))
+        .withColumn("common", F.explode(own))
         .select(F.col("mask").alias("side"), "common", _common_values(F.col("common")).alias("vals"), "rent", "best", "n")
+        .withColumn("hash", F.xxhash64("side", "common", "vals"))
         .groupBy(*point)
         .agg(F.min("best").alias("best"), F.sum("n").alias("n"))
     )
@@ -101,9 +107,7 @@ def best_in_reach(probes: DataFrame, candidates: DataFrame, best: Column, probe_
          "bucket": F.floor(F.col("rent") / BUCKET), "asked": F.lit(True)}
     )
     points = cand.withColumn("bucket", F.explode(reach)).withColumn("asked", F.lit(False)).unionByName(asked)
-    near = (
-        Window.partitionBy("side", "common", "vals", "bucket").orderBy("rent").rangeBetween(-K.RENT_TOLERANCE, K.RENT_TOLERANCE)
-    )
+    near = Window.partitionBy(*group, "bucket").orderBy("rent").rangeBetween(-K.RENT_TOLERANCE, K.RENT_TOLERANCE)
     found = (
         points.withColumns({"found": F.min("best").over(near), "matches": F.sum("n").over(near)})
         .where(F.col("asked") & F.col("found").isNotNull())
