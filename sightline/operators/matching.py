@@ -73,31 +73,32 @@ def _shared_sets(own: Column, masks: list[int]) -> Column:
     return F.filter(every, lambda s: F.bit_count(s["common"]) >= MIN_SHARED)
 
 
+PROFILE = ["mask", *FIELDS, "rent"]
+
+
 def best_in_reach(probes: DataFrame, candidates: DataFrame, best: Column, probe_masks: list[int], masks: list[int]) -> DataFrame:
-    """Smallest ``best`` and number of the strict matches of every distinct probe profile.
+    """Adds the smallest ``best`` and the number of the strict matches to every probe that has one.
 
-    Both sides come from ``with_fields``; ``best`` is an orderable column of the
-    candidates. Returns the profile columns (mask, fields, rent), ``best``, ``matches``.
+    Both sides are comparable rows of ``with_fields``, the probes one per profile;
+    ``best`` is an orderable column of the candidates.
     """
-    profile = ["mask", *FIELDS, "rent"]
+    cols = probes.columns
     # The hash stands first in joins and sorts: one long to compare instead of texts, which still decide.
     group = ["hash", "side", "common", "vals"]
     point = [*group, "rent"]
     spread = (
-        _comparable(probes).select(*profile).distinct()
-        .withColumn("s", F.explode(_shared_sets(F.col("mask"), masks)))
-        .select(*profile, F.col("s.other").alias("side"), F.col("s.common").alias("common"))
+        probes.withColumn("s", F.explode(_shared_sets(F.col("mask"), masks)))
+        .select(*cols, F.col("s.other").alias("side"), F.col("s.common").alias("common"))
         .withColumn("vals", _common_values(F.col("common")))
         .withColumn("hash", F.xxhash64("side", "common", "vals"))
     )
     own = F.array_distinct(F.transform(_shared_sets(F.col("mask"), probe_masks), lambda s: s["common"]))
     cand = (
-        _comparable(candidates).groupBy(*profile).agg(F.min(best).alias("best"), F.count("*").alias("n"))
-        .withColumn("common", F.explode(own))
-        .select(F.col("mask").alias("side"), "common", _common_values(F.col("common")).alias("vals"), "rent", "best", "n")
+        candidates.select(*PROFILE, best.alias("best")).withColumn("common", F.explode(own))
+        .select(F.col("mask").alias("side"), "common", _common_values(F.col("common")).alias("vals"), "rent", "best")
         .withColumn("hash", F.xxhash64("side", "common", "vals"))
         .groupBy(*point)
-        .agg(F.min("best").alias("best"), F.sum("n").alias("n"))
+        .agg(F.min("best").alias("best"), F.count("*").alias("n"))
     )
     reach = F.array_distinct(
         F.array(*[F.floor((F.col("rent") + d) / BUCKET) for d in (-K.RENT_TOLERANCE, 0, K.RENT_TOLERANCE)])
@@ -115,11 +116,15 @@ def best_in_reach(probes: DataFrame, candidates: DataFrame, best: Column, probe_
     )
     return (
         spread.join(found, point)
-        .groupBy(*profile)
+        .groupBy(*cols)
         .agg(F.min("found").alias("best"), F.sum("matches").alias("matches"))
     )
 
 
+def _profiles(df: DataFrame) -> DataFrame:
+    return _comparable(df).select(*PROFILE).distinct()
+
+
 def _join_profile(rows: DataFrame, found: DataFrame, how: str = "left") -> DataFrame:
     """Back from profiles to rows; equal profiles are null-safe through a text key."""
     key = F.concat_ws("\x1f", F.col("mask").cast("string"), F.col("rent").cast("string"), *FIELDS)
@@ -145,9 +150,8 @@ def same_identity(observations: DataFrame, listings: DataFrame) -> DataFrame:
 def best_candidate(observations: DataFrame, listings: DataFrame) -> DataFrame:
     """Adds ``candidate_id``: the strict match that is active first, then seen last, then oldest; all listings compete."""
     rank = F.struct((~F.col("active")).alias("gone"), (-F.unix_micros("last_seen_at")).alias("age"), "listing_id")
-    found = best_in_reach(
-        observations, listings, rank, _masks(_comparable(observations)), _masks(_comparable(listings))
-    )
+    probes, known = _comparable(observations), _comparable(listings)
+    found = best_in_reach(_profiles(observations), known, rank, _masks(probes), _masks(known))
     return _join_profile(observations, found).withColumn("candidate_id", F.col("best.listing_id")).drop("best", "matches")
 
 
@@ -156,8 +160,9 @@ def match_summary(units: DataFrame, id_col: str) -> DataFrame:
 
     The pairs themselves grow with the square of the copies and are not listed.
     """
-    masks = _masks(_comparable(units))
-    found = best_in_reach(units, units, F.col(id_col), masks, masks)
+    rows = _comparable(units)
+    masks = _masks(rows)
+    found = best_in_reach(_profiles(units), rows, F.col(id_col), masks, masks)
     return _join_profile(units, found).withColumns(
         {"matches": F.coalesce(F.col("matches") - 1, F.lit(0)), "first_match": F.coalesce("best", F.col(id_col))}
     ).drop("best")
@@ -170,24 +175,19 @@ def leaders(units: DataFrame, id_col: str) -> DataFrame:
     profiles whose first match in reach is themselves or a leader, at least the
     lowest open one; rounds go on until none is open. Returns ``id_col`` and ``leader``.
     """
-    profile = ["mask", *FIELDS, "rent"]
-    masks = _masks(_comparable(units))
-    open_ = cut(_comparable(units).groupBy(*profile).agg(F.min(id_col).alias("id")))
+    open_ = cut(_comparable(units).groupBy(*PROFILE).agg(F.min(id_col).alias("id")))
+    masks = _masks(open_)
     led = open_.limit(0)
     groups = []
     while not open_.isEmpty():
         alive = open_.withColumn("open", F.lit(True)).unionByName(led.withColumn("open", F.lit(False)))
         found = best_in_reach(open_, alive, F.struct("id", "open"), masks, masks)
-        key = F.concat_ws("\x1f", F.col("mask").cast("string"), F.col("rent").cast("string"), *FIELDS)
-        step = cut(
-            open_.withColumn("_k", key).join(found.select(key.alias("_k"), "best"), "_k").drop("_k")
-            .withColumn("leads", F.col("best.id") == F.col("id"))
-            .withColumn("done", F.col("leads") | ~F.col("best.open"))
-        )
-        groups.append(step.where("done").select(*profile, F.col("best.id").alias("best")))
+        leads = F.col("best.id") == F.col("id")
+        step = cut(found.withColumns({"leads": leads, "done": leads | ~F.col("best.open")}))
+        groups.append(step.where("done").select(*PROFILE, F.col("best.id").alias("best")))
         led = led.unionByName(step.where("leads").select(*open_.columns))
         open_ = step.where("not done").select(*open_.columns)
-    found = units.select(*profile, F.col(id_col).alias("best")).limit(0) if not groups else groups[0]
+    found = units.select(*PROFILE, F.col(id_col).alias("best")).limit(0) if not groups else groups[0]
     for g in groups[1:]:
         found = found.unionByName(g)
     rows = _join_profile(units, found.withColumn("matches", F.lit(1)))
