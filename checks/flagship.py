@@ -15,4 +15,4 @@ WATCH = ["listing_id", "estate_name", "layout", "rent_hkd", "price_per_sqft", "a
 def value_watchlist(t: Tables) -> DataFrame:
     at = target_run(t.runs).started_at
     current = S.snapshots(t.obs, t.listings, t.intervals, [at])
-    return R.value_watchlist(current, at, R.rent_percentile(R.rent_distribution(t.listings))).select(*WATCH)
+    return R.value_watchlist(current, at, R.rent_percentile(R.known_rents(t.listings))).select(*WATCH)

@@ -32,7 +32,7 @@ class Report:
 
     @property
     def new(self) -> DataFrame:
-        return R.new_listings(self.t.listings, self.t.state, self.start, self.at)
+        return R.first_seen_between(self.t.listings, self.t.state, self.start, self.at)
 
     @property
     def removed(self) -> DataFrame:
@@ -40,7 +40,7 @@ class Report:
 
     @property
     def reference(self) -> DataFrame:
-        return R.rent_distribution(self.t.listings)
+        return R.known_rents(self.t.listings)
 
     @property
     def low(self) -> DataFrame:
@@ -48,7 +48,7 @@ class Report:
 
     @property
     def gone(self) -> DataFrame:
-        return R.withdrawals(self.t.state, self.t.listings, self.at)
+        return R.withdrawn(self.t.state, self.t.listings, self.at)
 
 
 def report(name: str, build, oracle: str | None = None) -> None:
@@ -230,7 +230,7 @@ report("i5_new_listings", lambda r: R.new_listings(r.t.listings, r.t.state, r.st
 report("i6_source_missing", lambda r: R.source_missing(r.t.state, r.t.listings, r.start, r.at).limit(60).select("source_key", "first_missing_at", "rent_hkd"),
        """SELECT source_key, CAST(first_missing_at AS VARCHAR) AS first_missing_at, rent_hkd FROM gone, tgt WHERE first_missing_at >= tgt.c - INTERVAL 29 DAY AND first_missing_at <= tgt.c
           ORDER BY gone.first_missing_at DESC, rent_hkd NULLS FIRST, source_key LIMIT 60""")
-report("i7_rent_decreases", lambda r: R.rent_decreases(R.rent_changes(r.cur, r.prev, r.at)).select(*_CHG), f"SELECT {_CHG_SQL} FROM chg WHERE delta < 0")
+report("i7_rent_decreases", lambda r: R.rent_decreases(r.cur, r.prev, r.at).select(*_CHG), f"SELECT {_CHG_SQL} FROM chg WHERE delta < 0")
 report("i8_value_watchlist", lambda r: R.value_watchlist(r.cur, r.at, r.low).select(*WATCH),
        _WATCH.format(note=_note("pct", "age"), src="disc", where="WHERE pct IS NOT NULL AND (pct <= -5 OR active_source_count >= 2)", order=_PRICE))
 report("i9_fresh_watchlist", lambda r: R.fresh_watchlist(r.new, r.cur, r.at, r.low).select(*WATCH),
@@ -240,8 +240,8 @@ report("i10_stale_watchlist", lambda r: R.stale_watchlist(r.cur, r.at, r.low).se
                      where="WHERE age >= 14 AND (pct <= -8 OR rent_hkd <= (SELECT low FROM low))", order="age DESC, coalesce(nullif(price_per_sqft, 0), 9999), listing_id"))
 _WD = ["source_key", "first_missing_at", "local_age_days", "withdrawal_lag_bucket", "rent_hkd"]
 _WD_SQL = "source_key, CAST(first_missing_at AS VARCHAR) AS first_missing_at, round(local_age_days, 6) AS local_age_days, bucket AS withdrawal_lag_bucket, rent_hkd"
-report("i11_withdrawals", lambda r: r.gone.select(*_WD), f"SELECT {_WD_SQL} FROM wd")
+report("i11_withdrawals", lambda r: R.withdrawals(r.t.state, r.t.listings, r.at).select(*_WD), f"SELECT {_WD_SQL} FROM wd")
 report("i11_withdrawals_newest", lambda r: R.withdrawals(r.t.state, r.t.listings, r.at, sample_limit=100).select(*_WD),
        f"SELECT {_WD_SQL} FROM wd ORDER BY wd.first_missing_at DESC, price_per_sqft NULLS FIRST, source_key LIMIT 100")
-report("i12_rent_distribution", lambda r: r.reference, """SELECT listing_id, layout, last_rent_hkd AS rent_hkd, usable_area_sqft, round(last_price_per_sqft, 6) AS price_per_sqft
+report("i12_rent_distribution", lambda r: R.rent_distribution(r.t.listings), """SELECT listing_id, layout, last_rent_hkd AS rent_hkd, usable_area_sqft, round(last_price_per_sqft, 6) AS price_per_sqft
     FROM listings WHERE last_rent_hkd IS NOT NULL""")

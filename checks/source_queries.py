@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks.fixtures import LAYOUTS, TERMS, Tables
-from checks.oracle import psf
+from checks.oracle import label, psf
 from checks.registry import register
-from checks.state_queries import _STATE_SQL
+from checks.state_queries import _STATE_SQL, _report
 from checks.text_queries import _ASOF, _FOUND, _OUT, _OUT_SQL, card_pages, items_1, items_2, items_3
 from sightline import constants as K
 from sightline.operators import current as C
@@ -141,12 +141,16 @@ def _report_files(t: Tables) -> DataFrame:
     return out
 
 
-register("a11_report_csv", _report_files,
-         """SELECT 'new_listings' AS dataset, count(*) AS rows FROM listings, tgt WHERE first_seen_at >= tgt.c UNION ALL SELECT 'removed_listings', count(*) FROM remv
-            UNION ALL SELECT 'source_disappeared', count(*) FROM state, tgt WHERE first_missing_at = tgt.c UNION ALL SELECT 'rent_changes', count(*) FROM chg
-            UNION ALL SELECT 'rent_decreases', count(*) FROM chg WHERE delta < 0 UNION ALL SELECT 'fresh_value_watchlist', least(25, count(*)) FROM listings, tgt WHERE first_seen_at >= tgt.c
-            UNION ALL SELECT 'watchlist', least(25, count(*)) FROM disc WHERE pct IS NOT NULL AND (pct <= -5 OR active_source_count >= 2) UNION ALL SELECT 'budget_stats', count(*) FROM bands
-            UNION ALL SELECT 'withdrawal_lag_stats', 4 UNION ALL SELECT 'stale_value_watchlist', least(25, count(*)) FROM disc WHERE age >= 14 AND (pct <= -8 OR rent_hkd <= (SELECT low FROM low))""")
+_REPORT_ROWS = """SELECT 'new_listings' AS dataset, count(*) AS rows FROM listings, tgt WHERE first_seen_at >= tgt.c UNION ALL SELECT 'removed_listings', count(*) FROM remv
+    UNION ALL SELECT 'source_disappeared', count(*) FROM state, tgt WHERE first_missing_at = tgt.c UNION ALL SELECT 'rent_changes', count(*) FROM chg
+    UNION ALL SELECT 'rent_decreases', count(*) FROM chg WHERE delta < 0 UNION ALL SELECT 'fresh_value_watchlist', least(25, count(*)) FROM listings, tgt WHERE first_seen_at >= tgt.c
+    UNION ALL SELECT 'watchlist', least(25, count(*)) FROM disc WHERE pct IS NOT NULL AND (pct <= -5 OR active_source_count >= 2) UNION ALL SELECT 'budget_stats', count(*) FROM bands
+    UNION ALL SELECT 'withdrawal_lag_stats', 4 UNION ALL SELECT 'stale_value_watchlist', least(25, count(*)) FROM disc WHERE age >= 14 AND (pct <= -8 OR rent_hkd <= (SELECT low FROM low))"""
+register("a11_report_csv", _report_files, _REPORT_ROWS)
+register("k10_daily_report", _report, f"""{_REPORT_ROWS}
+    UNION ALL SELECT 'snapshots', count(*) FROM snap UNION ALL SELECT 'layout_stats', count(*) FROM lc UNION ALL SELECT 'withdrawals', count(*) FROM wd
+    UNION ALL SELECT 'estate_stats', least(15, count(DISTINCT {label('estate_name')})) FROM cur UNION ALL SELECT 'velocity', 7 UNION ALL SELECT 'velocity_signal', 1
+    UNION ALL SELECT 'overview', 1 UNION ALL SELECT 'market_heat', 1""")
 
 
 # L: streams over landed files

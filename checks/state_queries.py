@@ -174,7 +174,6 @@ def _report(t: Tables) -> DataFrame:
     return out
 
 
-register("k10_daily_report", _report)
 register("k11_layout_history", lambda t: D.layout_history(t.obs, t.listings, t.intervals, t.runs, date(2024, 1, 5), date(2024, 1, 30)).select(
             "report_date", "layout", "count", "avg_rent", "median_rent", "avg_psf"),
          """SELECT CAST(a.run_date AS VARCHAR) AS report_date, coalesce(nullif(coalesce(o.layout, l.layout), ''), '未标明') AS layout, count(*) AS count,

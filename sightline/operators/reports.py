@@ -104,8 +104,8 @@ def market_heat(overview: DataFrame, new: DataFrame, removed: DataFrame) -> Data
     )
 
 
-def rent_changes(current: DataFrame, previous: DataFrame, cutoff: datetime | Column) -> DataFrame:
-    """Listings whose rent differs from the previous snapshot, largest change first."""
+def changed_rents(current: DataFrame, previous: DataFrame, cutoff: datetime | Column) -> DataFrame:
+    """Listings whose rent differs from the previous snapshot."""
     end = cutoff if isinstance(cutoff, Column) else F.lit(cutoff)
     before = previous.select("listing_id", F.col("rent_hkd").alias("previous_rent_hkd"))
     delta = F.col("rent_hkd") - F.col("previous_rent_hkd")
@@ -116,11 +116,17 @@ def rent_changes(current: DataFrame, previous: DataFrame, cutoff: datetime | Col
             "rent_delta_pct": F.try_divide(delta, F.col("previous_rent_hkd")) * 100,
             "local_age_days": N.age_days(F.col("first_seen_at"), end),
         }
-    ).orderBy(F.desc(F.abs("rent_delta_hkd")), "listing_id")
+    )
+
+
+def rent_changes(current: DataFrame, previous: DataFrame, cutoff: datetime | Column) -> DataFrame:
+    """Changed rents, largest change first."""
+    return changed_rents(current, previous, cutoff).orderBy(F.desc(F.abs("rent_delta_hkd")), "listing_id")
 
 
-def rent_decreases(changes: DataFrame) -> DataFrame:
-    return changes.where("rent_delta_hkd < 0")
+def rent_decreases(current: DataFrame, previous: DataFrame, cutoff: datetime | Column) -> DataFrame:
+    """Lowered rents, largest decrease first."""
+    return rent_changes(current, previous, cutoff).where("rent_delta_hkd < 0")
 
 
 def removed_listings(current: DataFrame, previous: DataFrame) -> DataFrame:
@@ -132,12 +138,17 @@ def with_age(rows: DataFrame, cutoff: datetime | Column) -> DataFrame:
     return rows.withColumn("local_age_days", N.age_days(F.col("first_seen_at"), end))
 
 
-def rent_distribution(listings: DataFrame) -> DataFrame:
-    """Non-null current rents of all listings, ascending."""
+def known_rents(listings: DataFrame) -> DataFrame:
+    """Listings with a current rent."""
     return listings.where("last_rent_hkd is not null").select(
         "listing_id", "layout", F.col("last_rent_hkd").alias("rent_hkd"), "usable_area_sqft",
         F.col("last_price_per_sqft").alias("price_per_sqft"),
-    ).orderBy("rent_hkd", "listing_id")
+    )
+
+
+def rent_distribution(listings: DataFrame) -> DataFrame:
+    """Non-null current rents of all listings, ascending."""
+    return known_rents(listings).orderBy("rent_hkd", "listing_id")
 
 
 def rent_percentile(rows: DataFrame, p: float = K.LOW_RENT_PERCENTILE) -> DataFrame:
@@ -242,15 +253,20 @@ def budget_stats(
     return out.select("band", *cols, *[f"layout_{v}" for v in layouts]).orderBy("band")
 
 
-def new_listings(listings: DataFrame, state: DataFrame, start: Column, cutoff: Column) -> DataFrame:
-    """Listings first seen in [start, cutoff] with a sample of their active sources, cheapest per area first."""
+def first_seen_between(listings: DataFrame, state: DataFrame, start: Column, cutoff: Column) -> DataFrame:
+    """Listings first seen in [start, cutoff] with a sample of their active sources."""
     fresh = listings.where((F.col("first_seen_at") >= start) & (F.col("first_seen_at") <= cutoff))
     active = state.where("active").groupBy("listing_id").agg(
         F.min("source_site").alias("sample_source_site"), F.min("source_url").alias("sample_source_url")
     )
-    rows = fresh.join(active, "listing_id", "left").withColumnsRenamed(
+    return fresh.join(active, "listing_id", "left").withColumnsRenamed(
         {"last_rent_hkd": "rent_hkd", "last_price_per_sqft": "price_per_sqft", "sources_count": "active_source_count"}
     )
+
+
+def new_listings(listings: DataFrame, state: DataFrame, start: Column, cutoff: Column) -> DataFrame:
+    """New listings, cheapest per area first."""
+    rows = first_seen_between(listings, state, start, cutoff)
     return rows.orderBy(F.asc_nulls_last("price_per_sqft"), F.asc_nulls_first("rent_hkd"), F.desc("first_seen_at"), "listing_id")
 
 
@@ -277,17 +293,18 @@ def source_missing(state: DataFrame, listings: DataFrame, start: Column, cutoff:
     )
 
 
+def withdrawn(state: DataFrame, listings: DataFrame, cutoff: Column, days: int = K.WITHDRAWAL_DAYS) -> DataFrame:
+    """Source records that went missing in the days before ``cutoff``, with age and age bucket."""
+    rows = missing_rows(state, listings, cutoff - F.make_dt_interval(F.lit(days)), cutoff)
+    age = N.age_days(F.col("first_seen_at"), F.col("first_missing_at"))
+    return rows.withColumn("local_age_days", age).withColumn("withdrawal_lag_bucket", N.lag_bucket(F.col("local_age_days")))
+
+
 def withdrawals(
     state: DataFrame, listings: DataFrame, cutoff: Column, days: int = K.WITHDRAWAL_DAYS, sample_limit: int | None = None
 ) -> DataFrame:
-    """Source records that went missing in the days before ``cutoff``, with age and age bucket.
-
-    All events by default; ``sample_limit`` keeps the newest ones only.
-    """
-    rows = missing_rows(state, listings, cutoff - F.make_dt_interval(F.lit(days)), cutoff)
-    age = N.age_days(F.col("first_seen_at"), F.col("first_missing_at"))
-    rows = rows.withColumn("local_age_days", age).withColumn("withdrawal_lag_bucket", N.lag_bucket(F.col("local_age_days")))
-    rows = rows.orderBy(F.desc("first_missing_at"), F.asc_nulls_first("price_per_sqft"), "source_key")
+    """Withdrawn records, newest first. All events by default; ``sample_limit`` keeps the newest ones only."""
+    rows = withdrawn(state, listings, cutoff, days).orderBy(F.desc("first_missing_at"), F.asc_nulls_first("price_per_sqft"), "source_key")
     return rows.limit(sample_limit) if sample_limit is not None else rows
 
 

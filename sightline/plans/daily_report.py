@@ -50,12 +50,10 @@ def daily_report(
     cur, prev, week = (snap.where(F.col("period") == p) for p in ("current", "day", "week"))
     cutoff = F.lit(target.started_at)
     start = F.lit(target.local_date).cast("timestamp")
-    new = R.with_age(R.new_listings(listings, state, start, cutoff), cutoff)
+    new = R.first_seen_between(listings, state, start, cutoff)
     removed = R.with_age(R.removed_listings(cur, prev), cutoff)
-    reference = R.rent_distribution(listings)
+    reference = R.known_rents(listings)
     low = R.rent_percentile(reference)
-    changes = R.rent_changes(cur, prev, cutoff)
-    gone = R.withdrawals(state, listings, cutoff)
     overview = R.market_overview(snap)
     speed = velocity(listings, state, sources, runs, target.local_date)
     return {
@@ -66,17 +64,17 @@ def daily_report(
         "estate_stats": R.estate_comparison(cur, prev),
         "velocity": speed,
         "velocity_signal": R.velocity_signal(speed),
-        "new_listings": new,
+        "new_listings": R.with_age(R.new_listings(listings, state, start, cutoff), cutoff),
         "removed_listings": removed,
         "source_disappeared": R.source_missing(state, listings, start, cutoff),
-        "rent_changes": changes,
-        "rent_decreases": R.rent_decreases(changes),
+        "rent_changes": R.rent_changes(cur, prev, cutoff),
+        "rent_decreases": R.rent_decreases(cur, prev, cutoff),
         "watchlist": R.value_watchlist(cur, cutoff, low),
         "fresh_value_watchlist": R.fresh_watchlist(new, cur, cutoff, low),
         "stale_value_watchlist": R.stale_watchlist(cur, cutoff, low),
         "budget_stats": R.budget_stats(cur, prev if "day" in refs else None, new, removed, reference, layouts),
-        "withdrawals": gone,
-        "withdrawal_lag_stats": R.withdrawal_lag_stats(gone),
+        "withdrawals": R.withdrawals(state, listings, cutoff),
+        "withdrawal_lag_stats": R.withdrawal_lag_stats(R.withdrawn(state, listings, cutoff)),
     }
 
 
