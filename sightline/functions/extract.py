@@ -1,6 +1,7 @@
 """Fields of a card text as Spark columns.
 
-The ``text`` argument is a text that went through ``normalize_loose``.
+The ``text`` argument is a text that went through ``normalize_loose``, so its only
+white space is the plain blank; word boundaries and digits are those of Unicode.
 """
 
 from __future__ import annotations
@@ -17,11 +18,11 @@ from sightline.functions.text import (
 )
 
 
-def _first(text: Column, patterns: list[str], flags: str = "(?U)") -> Column:
+def _first(text: Column, patterns: list[str], flags: str = "") -> Column:
     return F.coalesce(*[known(F.regexp_extract(text, flags + p, 1)) for p in patterns])
 
 
-def _last(text: Column, patterns: list[str], flags: str = "(?iU)") -> Column:
+def _last(text: Column, patterns: list[str], flags: str = "(?i)") -> Column:
     return F.coalesce(*[F.try_element_at(F.regexp_extract_all(text, F.lit(flags + p), F.lit(1)), F.lit(-1)) for p in patterns])
 
 
@@ -58,7 +59,7 @@ def parse_rent(text: Column) -> Column:
 
 
 def parse_area(text: Column) -> Column:
-    return parse_int(_first(text, K.AREA_PATTERNS))
+    return parse_int(_first(text, K.AREA_PATTERNS, "(?U)"))
 
 
 def parse_price_per_sqft(text: Column) -> Column:
@@ -70,7 +71,7 @@ def parse_layout(text: Column) -> Column:
         rooms = known(F.regexp_extract(phrase, r"^([0-9一二两兩三四五六七八九十]房)", 1))
         return F.when(phrase.rlike("厅|廳"), phrase).otherwise(F.coalesce(rooms, phrase))
 
-    phrase = F.regexp_replace(_first(text, K.LAYOUT_PATTERNS), r"(?U)\s+", "")
+    phrase = F.regexp_replace(_first(text, K.LAYOUT_PATTERNS), r"\s+", "")
     return canonical_of_loose(let(phrase, layout))
 
 
@@ -88,7 +89,7 @@ def parse_block(text: Column) -> Column:
 
 def remove_leading_tags(text: Column) -> Column:
     tags = "|".join(K.MARKETING_TAGS)
-    return strip(F.regexp_replace(strip(text), rf"(?U)^(?:(?:{tags})\s*)+", ""))
+    return strip(F.regexp_replace(strip(text), rf"^(?:(?:{tags})\s*)+", ""))
 
 
 def estate_head(text: Column, layout: Column) -> Column:
@@ -107,13 +108,13 @@ def estate_head(text: Column, layout: Column) -> Column:
 
 def estate_of_head(head: Column, terms: list[str]) -> Column:
     def unit_or_words(work: Column) -> Column:
-        unit = known(strip(F.regexp_extract(work, "(?iU)" + K.UNIT_PATTERN, 1)))
+        unit = known(strip(F.regexp_extract(work, "(?i)" + K.UNIT_PATTERN, 1)))
         return F.coalesce(unit, F.array_join(F.slice(F.split(work, " "), 1, 4), " "))
 
-    name = let(F.trim(F.regexp_replace(F.regexp_replace(head, r"(?U)\b(?:VR|AI)\b", " "), r"(?U)\s+", " ")), unit_or_words)
+    name = let(F.trim(F.regexp_replace(F.regexp_replace(head, r"(?U)\b(?:VR|AI)\b", " "), r"\s+", " ")), unit_or_words)
     for term in sorted((t for t in terms if t), key=len, reverse=True):
-        name = strip(F.regexp_replace(name, rf"(?U)\s+\Q{term}\E$", ""))
-    name = strip(F.regexp_replace(name, "(?U)" + K.ESTATE_PREFIX_PATTERN, ""))
+        name = strip(F.regexp_replace(name, rf"\s+\Q{term}\E$", ""))
+    name = strip(F.regexp_replace(name, K.ESTATE_PREFIX_PATTERN, ""))
     return known(loose_of_nfkc(name))
 
 
