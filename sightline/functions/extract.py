@@ -108,7 +108,7 @@ def estate_head(text: Column, layout: Column) -> Column:
 
 def estate_of_head(head: Column, terms: list[str]) -> Column:
     def unit_or_words(work: Column) -> Column:
-        unit = known(strip(F.regexp_extract(work, "(?i)" + K.UNIT_PATTERN, 1)))
+        unit = known(strip(F.regexp_extract(work, "(?i)^" + K.UNIT_PATTERN, 1)))  # a match starts at the first word
         return F.coalesce(unit, F.array_join(F.slice(F.split(work, " "), 1, 4), " "))
 
     name = let(F.trim(F.regexp_replace(F.regexp_replace(head, r"(?U)\b(?:VR|AI)\b", " "), r"\s+", " ")), unit_or_words)

@@ -17,9 +17,10 @@ from pyspark.sql.types import StringType
 
 from sightline import constants as K
 
-# All white space of Unicode, spelled out: quicker than a property lookup per character.
-SPACES = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-WS = f"[{SPACES}]"
+# White space as Unicode sees it. Patterns spell it out: quicker than a property lookup per character.
+SPACE_CHARS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+ODD_SPACES = r"\t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"  # all but the blank
+WS = rf"[\x20{ODD_SPACES}]"
 SEP = "\x1f"  # joins array elements for one NFKC call; white space, so it never survives a clean text
 _HAN = "[一-鿿]"  # holds every character of the script tables
 _STABLE = r"^[\x00-\x7FÀ-ÿ一-鿿、。〈-】]*$"
@@ -61,13 +62,17 @@ def strip(col: Column) -> Column:
 
 
 def key_of_nfkc(col: Column) -> Column:
-    """Comparison key of a text that is NFKC already."""
-    drop = f"[{SPACES}{re.escape(K.PUNCTUATION)}]+"
-    return F.regexp_replace(F.lower(simplify(col)), drop, "")
+    """Comparison key of a text that is NFKC already: one pass simplifies and drops white space and punctuation."""
+    return F.lower(F.translate(col, K.TRAD + SPACE_CHARS + K.PUNCTUATION, K.SIMP))
+
+
+def squeeze(col: Column) -> Column:
+    """Single blanks for all white space; the pattern passes over blanks that are single already."""
+    return F.trim(F.regexp_replace(col, f"{WS}{{2,}}|[{ODD_SPACES}]", " "))
 
 
 def loose_of_nfkc(col: Column) -> Column:
-    return F.trim(F.regexp_replace(simplify(col), f"{WS}+", " "))
+    return squeeze(simplify(col))
 
 
 def normalize_text(col: Column) -> Column:
