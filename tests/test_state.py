@@ -206,19 +206,26 @@ CASES = [
 ]
 
 
-@pytest.mark.parametrize("a, b, same", CASES)
-def test_resolution_literals(spark, a, b, same):
+def test_resolution_literals(spark):
+    """All cases at once, each with an estate and sources of its own: first in one batch, then over two."""
     from sightline.operators.extraction import observation_identity
 
+    rows = []
+    for n, (first, second, _) in enumerate(CASES):
+        for side, (key, estate, *rest) in enumerate((first, second)):
+            rows.append((2 * n + side, f"{key}-{n}", f"{estate}{n}号", *rest))
     schema = "obs_id bigint, source_key string, estate_name string, block string, floor string, flat string, layout string, usable_area_sqft int, rent_hkd int"
-    both = spark.createDataFrame([(1, *a), (2, *b)], schema)
+    both = spark.createDataFrame(rows, schema)
     both = both.withColumn("identity_key", observation_identity(both))
-    empty_state = spark.createDataFrame([], "source_key string, listing_id bigint")
     shape = both.withColumn("listing_id", F.col("obs_id")).withColumn("active", F.lit(True)).withColumn("last_seen_at", F.lit(DAY))
-    got = {r.obs_id: r.listing_id for r in M.resolve_batch(both, empty_state, shape.limit(0)).collect()}
-    assert (got[1] == got[2]) is same
-    later = M.resolve_batch(both.where("obs_id = 2"), shape.where("obs_id = 1").select("source_key", "listing_id"), shape.where("obs_id = 1"))
-    assert (later.first().listing_id == 1) is same
+    no_state = spark.createDataFrame([], "source_key string, listing_id bigint")
+    got = {r.obs_id: r.listing_id for r in M.resolve_batch(both, no_state, shape.limit(0)).collect()}
+    old = shape.where("obs_id % 2 = 0")
+    later = M.resolve_batch(both.where("obs_id % 2 = 1"), old.select("source_key", "listing_id"), old)
+    later = {r.obs_id: r.listing_id for r in later.collect()}
+    for n, (_, _, same) in enumerate(CASES):
+        assert (got[2 * n] == got[2 * n + 1]) is same, n
+        assert (later[2 * n + 1] == 2 * n) is same, n
 
 
 def test_missing_gate(spark):
