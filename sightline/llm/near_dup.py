@@ -136,7 +136,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 def overlap(a: str, b: str) -> float:
     """Weighted Jaccard similarity of two texts."""
-    raw = [(t or "").encode() for t in (a, b)]
+    raw = [(t or "").lower().encode() for t in (a, b)]
     data = np.frombuffer(b"".join(raw), np.uint8)
     text, code, weight = weighted(*shingles(Chunk(0, 2, data, np.array([0, len(raw[0]), len(data)]))))
     first = text == 0
@@ -185,7 +185,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     The kept row of a class is one with its smallest doc_id; of equal rows one is kept.
     """
-    source = columns_of(docs, doc_id=id_col, text=text_col)
+    source = columns_of(docs, doc_id=id_col, text=text_col).withColumn("text", F.lower("text"))
     signed = cut(signatures(source).withColumn("row", F.monotonically_increasing_id()), "signatures")
     nodes = signed.where("node is not null").groupBy("node").agg(F.min("checksum").alias("checksum"), F.min("doc_id").alias("doc_id"))
     buckets = signed.where("node is not null").select("node", F.explode("bands").alias("bucket")).distinct()
