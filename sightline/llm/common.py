@@ -25,3 +25,9 @@ def fold_of(doc_id: Column) -> Column:
 def columns_of(df: DataFrame, **wanted: str) -> DataFrame:
     """Only the wanted columns, under the names the operators use; other columns cannot clash."""
     return df.select(*(F.col(f"`{have}`").alias(name) for name, have in wanted.items()))
+
+
+def numbered(df: DataFrame, row_col: str | None, **wanted: str) -> DataFrame:
+    """``columns_of`` with a number of each row as ``row``: ``row_col``, or one that is only stable once written."""
+    row = F.col(f"`{row_col}`") if row_col else F.monotonically_increasing_id()
+    return df.select(row.alias("row"), *(F.col(f"`{have}`").alias(name) for name, have in wanted.items()))

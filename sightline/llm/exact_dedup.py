@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import columns_of
+from sightline.llm.common import numbered
 from sightline.session import cut
 
 #: Digests that a summary tracks (a power of two). A digest with more than about 1 / 1000 of all rows is always found.
@@ -31,10 +31,10 @@ def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER)
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """row, doc_id and the SHA-256 of the normalised text, as a written table."""
-    rows = columns_of(docs, doc_id=id_col, text=text_col).select(
-        F.monotonically_increasing_id().alias("row"), "doc_id", F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("digest")
+    rows = numbered(docs, row_col, doc_id=id_col, text=text_col).select(
+        "row", "doc_id", F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("digest")
     )
     return cut(rows, "digests")
 
@@ -61,14 +61,17 @@ def groups(rows: DataFrame) -> DataFrame:
     )
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    rows = digests(docs, id_col, text_col)
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """One row per document: row, doc_id, keep_id, group_size, kept, text_sha256.
+
+    ``row`` is a number of the row: ``row_col`` if that is given, else one of the operator's own.
+    """
+    rows = digests(docs, id_col, text_col, row_col)
     heavy = F.broadcast(frequent(rows))
     rest = rows.join(heavy, "digest", "left_anti")
     columns = ["row", "doc_id", "digest", "group_size", "keep_id", "keep_row"]
     both = rows.join(heavy, "digest").select(columns).union(rest.join(groups(rest), "digest").select(columns))
     return both.select(
-        "doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"),
+        "row", "doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import columns_of
+from sightline.llm.common import numbered
 from sightline.llm.components import components
 from sightline.llm.tokens import U64, Chunk, chunks, letter_table, mix, rolling, words
 from sightline.session import cut
@@ -120,18 +120,18 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             flat = pa.array(bands.reshape(-1).view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id").slice(chunk.first, chunk.n),
+                    *(batch.column(c).slice(chunk.first, chunk.n) for c in ("row", "doc_id")),
                     pa.array(mix(node).view(np.int64), mask=~some),
                     pa.array(mix(check).view(np.int64), mask=~some),
                     pa.ListArray.from_arrays(pa.array(np.arange(chunk.n + 1, dtype=np.int32) * BANDS), flat),
                 ],
-                names=["doc_id", "node", "checksum", "bands"],
+                names=["row", "doc_id", "node", "checksum", "bands"],
             )
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, node (hash of the shingle multiset; null without words), checksum (a second hash) and band hashes."""
-    return docs.mapInArrow(_signatures, "doc_id long, node long, checksum long, bands array<long>")
+    """row, doc_id, node (hash of the shingle multiset; null without words), checksum (a second hash) and band hashes."""
+    return docs.mapInArrow(_signatures, "row long, doc_id long, node long, checksum long, bands array<long>")
 
 
 def overlap(a: str, b: str) -> float:
@@ -180,13 +180,15 @@ def candidates(buckets: DataFrame, classes: DataFrame | None, tested: DataFrame
     return pairs.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document: doc_id, class_id (smallest doc_id of its class), class_size, kept (one row per class).
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, row_col: str | None = None
+) -> DataFrame:
+    """One row per document: row, doc_id, class_id (smallest doc_id of its class), class_size, kept (one row per class).
 
-    The kept row of a class is one with its smallest doc_id; of equal rows one is kept.
+    ``row`` is a number of the row: ``row_col`` if that is given, else one of the operator's own. The kept row of a class is one with its smallest doc_id; of equal rows one is kept.
     """
-    source = columns_of(docs, doc_id=id_col, text=text_col).withColumn("text", F.lower("text"))
-    signed = cut(signatures(source).withColumn("row", F.monotonically_increasing_id()), "signatures")
+    source = numbered(docs, row_col, doc_id=id_col, text=text_col).withColumn("text", F.lower("text"))
+    signed = cut(signatures(source), "signatures")
     nodes = signed.where("node is not null").groupBy("node").agg(F.min("checksum").alias("checksum"), F.min("doc_id").alias("doc_id"))
     buckets = signed.where("node is not null").select("node", F.explode("bands").alias("bucket")).distinct()
     shared = buckets.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
@@ -222,6 +224,6 @@ def _classed(signed: DataFrame, nodes: DataFrame, classes: DataFrame | None) ->
     first = rows.join(sizes.select(F.col("class").alias("c"), "low"), (F.col("class") == F.col("c")) & F.col("doc_id").eqNullSafe(F.col("low")))
     sizes = sizes.join(first.groupBy("class").agg(F.min("row").alias("first")), "class")
     return rows.join(sizes, "class", "left").select(
-        "doc_id", F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("low")).alias("class_id"),
+        "row", "doc_id", F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("low")).alias("class_id"),
         F.coalesce("n", F.lit(1)).alias("class_size"), F.coalesce(F.col("row") == F.col("first"), F.lit(True)).alias("kept"),
     )

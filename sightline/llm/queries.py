@@ -11,7 +11,9 @@ from sightline.llm.decontamination import decontaminate
 from sightline.llm.exact_dedup import exact_dedup
 from sightline.llm.html_text import extract_text
 from sightline.llm.language import identify_languages
+from sightline.llm.mixing import mix_sources
 from sightline.llm.near_dup import near_duplicates
+from sightline.llm.pii import find_personal_data
 from sightline.llm.substring_dedup import substring_dedup
 from sightline.llm.toxicity import score_toxicity
 from sightline.llm.warc import archive_pages
@@ -59,9 +61,14 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(read(spark, sf_dir, "documents"))
 
 
+@query
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(read(spark, sf_dir, "documents"))
+
+
 @query
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(read(spark, sf_dir, "documents"))
+    return exact_dedup(read(spark, sf_dir, "documents")).drop("row")
 
 
 ORACLES["op6_exact_dedup"] = """
@@ -75,6 +82,11 @@ FROM n WINDOW g AS (PARTITION BY h)
 """
 
 
+@query
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(read(spark, sf_dir, "documents"))
+
+
 @query
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
@@ -87,4 +99,4 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read(spark, sf_dir, "documents"))
+    return near_duplicates(read(spark, sf_dir, "documents")).drop("row")
