@@ -129,13 +129,14 @@ def _packed(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
         bound = np.r_[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(bucket)] if len(bucket) else np.zeros(1, int)
         window = np.r_[0, np.cumsum(rest.n)]
         small, short = (rest.key >> U64(32)).astype(np.uint32), (rest.hashes >> U64(32)).astype(np.uint32)
+        extra = (rest.hashes & U64(0xFFFF)).astype(np.uint16)
         blobs = []
         for a, b in zip(bound[:-1], bound[1:], strict=True):
             ids = rest.doc[a:b]
             head = np.array([b - a, ids[0]], np.int64)
             blobs.append(b"".join(x.tobytes() for x in (
                 head, np.diff(ids, prepend=ids[0]), rest.start[a:b].astype(np.uint32), rest.n[a:b].astype(np.uint32), small[a:b],
-                short[window[a] : window[b]],
+                short[window[a] : window[b]], extra[window[a] : window[b]],
             )))
         for a in range(0, len(blobs), 256):
             some = blobs[a : a + 256]
@@ -163,7 +164,10 @@ def _unpacked(blob: bytes) -> _SuperKmers:
     count, first = np.frombuffer(blob, np.int64, 2)
     doc = np.cumsum(np.frombuffer(blob, np.int64, count, 16)) + first
     start, n, key = (np.frombuffer(blob, np.uint32, count, 16 + 8 * count + 4 * count * i) for i in range(3))
-    return _SuperKmers(doc, start.astype(np.int64), n.astype(np.int64), key.astype(U64), np.frombuffer(blob, np.uint32, -1, 16 + 20 * count).astype(U64))
+    windows, at = int(n.sum()), 16 + 20 * int(count)
+    high, low = np.frombuffer(blob, np.uint32, windows, at), np.frombuffer(blob, np.uint16, windows, at + 4 * windows)
+    hashes = (high.astype(U64) << U64(16)) | low
+    return _SuperKmers(doc, start.astype(np.int64), n.astype(np.int64), key.astype(U64), hashes)
 
 
 def _bucket_paths(parts: list[_SuperKmers]) -> pa.RecordBatch | None:
@@ -177,7 +181,7 @@ def _bucket_paths(parts: list[_SuperKmers]) -> pa.RecordBatch | None:
     some = all_.take(rows)
     place = np.arange(len(some.hashes)) - np.repeat(np.cumsum(some.n) - some.n, some.n)
     doc, start = np.repeat(some.doc, some.n), np.repeat(some.start, some.n) + place
-    later, lead = _lead((np.repeat(some.key, some.n) << U64(32)) | some.hashes, doc, start)
+    later, lead = _lead(mix(np.repeat(mix(some.key), some.n) ^ some.hashes), doc, start)
     if len(later) == 0:
         return None
     order = np.lexsort((start[later], doc[later]))
@@ -250,13 +254,18 @@ def _digest(found: list[bytes], start: int, n: int) -> bytes:
     return hashlib.sha256(b" ".join(found[start : start + n])).digest()
 
 
-def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """Removes the spans from the documents; ``seen`` has the digests of each span and of each source that is named."""
+def remove_spans(docs: DataFrame, spans: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """Removes the spans from the documents; ``seen`` has the digests of each span and of each source that is named.
+
+    With ``only`` (doc) just these documents and those that hold or are the source of a span are read.
+    """
     own = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "words", "source", "source_start")).alias("spans"))
     sources = spans.select(F.col("source").alias("doc"), F.col("source_start").alias("start"), "words").distinct()
     sources = sources.groupBy("doc").agg(F.collect_list(F.struct("start", "words")).alias("reads"))
     listed = own.join(sources, "doc", "full_outer")
-    return docs.join(listed, "doc", "left").select("doc", "text", "spans", "reads").mapInPandas(
+    if only is not None:
+        listed = listed.join(only, "doc", "full_outer")
+    return docs.join(listed, "doc", "left" if only is None else "inner").select("doc", "text", "spans", "reads").mapInPandas(
         _removed,
         "doc long, n_words long, n_removed long, kept_sha256 string,"
         " seen array<struct<source: long, start: long, words: long, digest: binary>>",
@@ -267,22 +276,25 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per document: doc_id, n_words, n_removed, kept_sha256."""
     docs = columns_of(docs, doc=id_col, text=text_col).withColumn("doc", F.coalesce("doc", F.lit(NULL_ID)))
     spans = cut(compact(repeated_paths(docs)), "spans")
-    while True:
-        done = cut(remove_spans(docs, spans), "kept")
-        seen = done.select("doc", F.explode("seen").alias("s")).select(
-            F.coalesce("s.source", "doc").alias("source"), F.col("s.start").alias("source_start"), "s.words", "s.digest"
-        )
-        differ = cut(
-            seen.groupBy("source", "source_start", "words").agg(F.min("digest").alias("a"), F.max("digest").alias("b"))
-            .where("a <> b").drop("a", "b"), "differ",
-        )
-        if differ.isEmpty():
-            break
-        # a collision: such spans are split into their windows, and those that differ are taken out
-        spans = cut(_without(spans, differ), "spans")
+    done = fresh = cut(remove_spans(docs, spans), "kept")
+    while not (differ := _differing(fresh)).isEmpty():
+        # colliding hashes: the spans are split into windows, those that differ go, and their documents are read again
+        redo = cut(spans.join(differ, ["source", "source_start", "words"], "left_semi").select("doc").distinct(), "redo")
+        spans = cut(_without(spans.join(redo, "doc", "left_semi"), differ), "spans")
+        fresh = cut(remove_spans(docs, spans, redo), "kept")
+        done = cut(done.join(redo, "doc", "left_anti").unionByName(fresh.join(redo, "doc", "left_semi")), "kept")
     return done.select(F.when(F.col("doc") != NULL_ID, F.col("doc")).alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
 
+def _differing(done: DataFrame) -> DataFrame:
+    """Sources whose words are not those of every span that was led back to them."""
+    seen = done.select("doc", F.explode("seen").alias("s")).select(
+        F.coalesce("s.source", "doc").alias("source"), F.col("s.start").alias("source_start"), "s.words", "s.digest"
+    )
+    digests = seen.groupBy("source", "source_start", "words").agg(F.min("digest").alias("a"), F.max("digest").alias("b"))
+    return cut(digests.where("a <> b").drop("a", "b"), "differ")
+
+
 def _without(spans: DataFrame, differ: DataFrame) -> DataFrame:
     keys = ["source", "source_start", "words"]
     bad = spans.join(differ, keys, "left_semi")
