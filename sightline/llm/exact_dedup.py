@@ -67,6 +67,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``row`` is a number of the row: ``row_col`` if that is given, else one of the operator's own.
     """
     rows = digests(docs, id_col, text_col, row_col)
+    if rows.isEmpty():  # there is no summary of nothing
+        return rows.select(
+            "row", "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"),
+            F.lower(F.hex("digest")).alias("text_sha256"),
+        )
     heavy = F.broadcast(frequent(rows))
     rest = rows.join(heavy, "digest", "left_anti")
     columns = ["row", "doc_id", "digest", "group_size", "keep_id", "keep_row"]
