@@ -41,7 +41,7 @@ _BASE = 0x9E3779B97F4A7C15
 _UP = np.array([pow(_BASE, i, 1 << 64) for i in range(LONGEST + 2)], U64)
 _DOWN = np.array([pow(pow(_BASE, -1, 1 << 64), i, 1 << 64) for i in range(LONGEST + 2)], U64)
 #: Bytes of text whose distinct words are scored together, and words whose scores a task keeps.
-_CHUNK, _KEPT = 1 << 23, 400_000
+_CHUNK, _KEPT = 1 << 21, 400_000
 
 
 def vocabulary(path: str = VOCABULARY) -> list[bytes]:
