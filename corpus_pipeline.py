@@ -1,13 +1,14 @@
 """A corpus pipeline over ``documents``: language, exact copies, near copies, benchmark passages, mixing.
 
-Every stage takes documents and returns those it keeps, all but the last with the columns they came with. A stage first writes its
-documents with a number each, so that decisions are about rows, whatever doc_ids are missing or repeated and whatever
-other columns there are, and hold when a task has to run again. Rows that go are looked up by number: broadcast up to
-``session.BROADCAST_ROWS`` numbers, by shuffle beyond.
+Every stage takes documents and returns those it keeps, all but the last with the columns they came with. Decisions are about
+rows by their place in the Parquet files that a stage reads, so they hold whatever doc_ids are missing or repeated, whatever
+other columns there are, and when a task has to run again. Rows that go are looked up by place: broadcast up to
+``session.BROADCAST_ROWS`` rows, by shuffle beyond.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,10 +22,20 @@ from sightline.session import cut, lookup_join, new_path
 
 #: A predicted language below this posterior counts as none.
 LEAST_SCORE = 0.5
+#: Bits for the place of a row in its file; the file's number is above.
+ROW_BITS = 40
 
 
 def _numbered(docs: DataFrame, name: str) -> DataFrame:
-    return cut(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*(f"`{c}`" for c in docs.columns)).alias("doc")), name)
+    """(row, doc) of documents: the row's place in its Parquet file, or its number in a copy where documents are no file."""
+    doc = F.struct(*(f"`{c}`" for c in docs.columns)).alias("doc")
+    try:
+        rows = docs.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("place"), doc)
+    except AnalysisException:
+        return cut(docs.select(F.monotonically_increasing_id().alias("row"), doc), name)
+    paths = sorted(r.path for r in rows.select("path").distinct().collect())  # as many as the files that the driver lists anyway
+    files = docs.sparkSession.createDataFrame([(p, i << ROW_BITS) for i, p in enumerate(paths)], "path string, base long")
+    return rows.join(F.broadcast(files), "path").select((F.col("base") + F.col("place")).alias("row"), "doc")
 
 
 def _view(rows: DataFrame) -> DataFrame:
