@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows that go to Python at once: texts are long, and an Arrow batch is held on both sides.
+BATCH_ROWS = 1000
+
 #: A group with more than this share of all rows is a heavy one; there are at most 1 / HEAVY_SHARE of them.
 HEAVY_SHARE = 1 / 1024
 
@@ -22,12 +25,21 @@ def fold_of(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5, F.lit(0))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches of the session, unless they are smaller already."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def columns_of(df: DataFrame, **wanted: str) -> DataFrame:
     """Only the wanted columns, under the names the operators use; other columns cannot clash."""
+    small_batches(df.sparkSession)
     return df.select(*(F.col(f"`{have}`").alias(name) for name, have in wanted.items()))
 
 
 def numbered(df: DataFrame, row_col: str | None, **wanted: str) -> DataFrame:
     """``columns_of`` with a number of each row as ``row``: ``row_col``, or one that is only stable once written."""
+    small_batches(df.sparkSession)
     row = F.col(f"`{row_col}`") if row_col else F.monotonically_increasing_id()
     return df.select(row.alias("row"), *(F.col(f"`{have}`").alias(name) for name, have in wanted.items()))

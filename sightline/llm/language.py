@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sightline.llm.common import columns_of, fold_of
+from sightline.llm.common import columns_of, fold_of, small_batches
 from sightline.llm.tokens import U64, chunks, letter_table, lookup, mix, words
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -219,6 +219,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def learn(labelled: DataFrame, path: str = VOCABULARY, sample: int = SAMPLE, n_words: int = WORDS) -> tuple[Pieces, np.ndarray, list[str]]:
     """Model from labelled documents (doc_id, text, lang): pieces, probabilities, languages in order."""
+    small_batches(labelled.sparkSession)
     by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     picked = labelled.select("doc_id", "lang").withColumn("at", F.row_number().over(by_hash)).where(F.col("at") <= sample)
     texts = labelled.join(F.broadcast(picked.select("doc_id").distinct()), "doc_id", "left_semi")
@@ -240,6 +241,7 @@ def learn(labelled: DataFrame, path: str = VOCABULARY, sample: int = SAMPLE, n_w
 
 def predict(docs: DataFrame, model: tuple[Pieces, np.ndarray, list[str]], text_col: str = "text") -> DataFrame:
     """The columns of ``docs`` but the text, with lang_pred and score."""
+    small_batches(docs.sparkSession)
     pieces, prob, langs = model
     rest = [c for c in docs.columns if c != text_col]
     if not langs:
