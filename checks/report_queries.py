@@ -105,15 +105,15 @@ _CHG = ["listing_id", "previous_rent_hkd", "rent_hkd", "rent_delta_hkd", "rent_d
 _CHG_SQL = """listing_id, previous_rent_hkd, rent_hkd, delta AS rent_delta_hkd, round(CASE WHEN previous_rent_hkd <> 0 THEN delta / previous_rent_hkd * 100 END, 6) AS rent_delta_pct,
     round(age, 6) AS local_age_days"""
 report("f11_rent_changes", lambda r: R.rent_changes(r.cur, r.prev, r.at).select(*_CHG), f"SELECT {_CHG_SQL} FROM chg")
-report("f12_removed_listings", lambda r: R.removed_listings(r.prev, r.cur).select("listing_id", "rent_hkd"), "SELECT listing_id, rent_hkd FROM cur WHERE listing_id NOT IN (SELECT listing_id FROM prv)")
+report("f12_removed_listings", lambda r: r.removed.select("listing_id", "rent_hkd"), "SELECT listing_id, rent_hkd FROM remv")
 report("f13_rows_with_layout_stats", lambda r: R.with_discount(r.new, r.cur).select("listing_id", "psf_vs_layout_avg_pct"), "SELECT listing_id, round(pct, 6) AS psf_vs_layout_avg_pct FROM nlm")
 _G7 = f"""SELECT g.*, {", ".join(f"round(lc.{c} - {a}.{c}, 6) AS {c}_delta_{s}" for s, a in (("day", "lp"), ("week", "lw")) for c in ("count", "avg_rent", "avg_psf"))}
     FROM (SELECT {label('layout')} AS layout, {_STATS} FROM cur GROUP BY 1) g JOIN lc ON lc.layout = g.layout LEFT JOIN lp ON lp.layout = g.layout LEFT JOIN lw ON lw.layout = g.layout"""
 report("f14_layout_stats_joined", lambda r: R.layout_comparison(r.cur, r.prev, r.week).select("layout", "count_delta_day", "count_delta_week"),
        "SELECT lc.layout, lc.count - lp.count AS count_delta_day, lc.count - lw.count AS count_delta_week FROM lc LEFT JOIN lp ON lp.layout = lc.layout LEFT JOIN lw ON lw.layout = lc.layout")
-register("f15_source_reconciliation", lambda t: C.reconcile_sources(t.obs.where("run_id = 30 and source_site <> 'view'"), t.state),
+register("f15_source_reconciliation", lambda t: C.reconcile_sources(t.obs.join(F.broadcast(t.runs.agg(F.max("run_id").alias("run_id"))), "run_id"), t.state),
          """SELECT source_site, web_total, coalesce(db_total, 0) AS db_total, coalesce(web_total = coalesce(db_total, 0), false) AS matched
-            FROM (SELECT source_site, count(DISTINCT source_key) AS web_total FROM obs WHERE run_id = 30 AND source_site <> 'view' GROUP BY 1)
+            FROM (SELECT source_site, count(DISTINCT source_key) AS web_total FROM obs WHERE run_id = (SELECT max(run_id) FROM runs) GROUP BY 1)
             FULL JOIN (SELECT source_site, count(*) AS db_total FROM state WHERE active GROUP BY 1) USING (source_site)""")
 register("f16_log_at_cutoff", lambda t: _log_at(t), "SELECT o.obs_id, r.status FROM obs o JOIN runs r USING (run_id) WHERE r.started_at <= TIMESTAMP '2024-01-15'")
 
@@ -196,9 +196,9 @@ report("g15_market_overview", lambda r: R.market_overview(r.snap),
 report("g16_market_heat", lambda r: R.market_heat(R.market_overview(r.snap), r.new, r.removed),
        """SELECT count, (SELECT count(*) FROM newl) AS new_count, (SELECT count(*) FROM remv) AS removed_count, count_delta_day < 0 AS supply_shrinking, avg_rent_delta_day > 0 AS rents_rising,
           (SELECT count(*) FROM remv) > (SELECT count(*) FROM newl) AS removals_exceed_additions, count_delta_day IS NOT NULL AS has_baseline FROM over""")
-register("g17_tracking_days", lambda t: tracking_days(t.runs.where("run_id > 2"), t.obs.select(F.when(F.col("obs_id") % 900 == 0, F.lit("latest")).otherwise(F.date_format("run_date", "yyyy-MM-dd")).alias("report_date"))),
+register("g17_tracking_days", lambda t: tracking_days(t.runs, t.obs.select(F.when(F.col("obs_id") % 900 == 0, F.lit("latest")).otherwise(F.date_format("run_date", "yyyy-MM-dd")).alias("report_date"))),
          """SELECT d AS report_date, CASE WHEN d > f THEN 1 + (SELECT count(DISTINCT CAST(run_date AS VARCHAR)) FROM obs WHERE obs_id % 900 <> 0 AND CAST(run_date AS VARCHAR) > f AND CAST(run_date AS VARCHAR) <= d) ELSE 1 END AS tracking_days
-            FROM (SELECT DISTINCT CAST(run_date AS VARCHAR) AS d FROM obs WHERE obs_id % 900 <> 0), (SELECT CAST(min(run_date) AS VARCHAR) AS f FROM runs WHERE status = 'ok' AND run_id > 2)
+            FROM (SELECT DISTINCT CAST(run_date AS VARCHAR) AS d FROM obs WHERE obs_id % 900 <> 0), (SELECT CAST(min(run_date) AS VARCHAR) AS f FROM runs WHERE status = 'ok')
             UNION ALL SELECT DISTINCT 'latest', 1 FROM obs WHERE obs_id % 900 = 0""")
 
 
@@ -225,11 +225,10 @@ register("i3_latest_changes", lambda t: C.latest_changes(t.obs, t.listings).sele
          "SELECT o.obs_id, l.canonical_id, o.source_site, o.rent_hkd FROM obs o JOIN listings l USING (listing_id) ORDER BY obs_id DESC LIMIT 100")
 register("i4_recently_delisted", lambda t: C.recently_delisted(t.state, t.listings).select("source_key", "first_missing_at", "estate_name", "last_rent_hkd"),
          "SELECT source_key, CAST(first_missing_at AS VARCHAR) AS first_missing_at, estate_name, rent_hkd AS last_rent_hkd FROM gone WHERE first_missing_at IS NOT NULL ORDER BY gone.first_missing_at DESC, source_key LIMIT 30")
-report("i5_new_listings", lambda r: R.new_listings(r.t.listings, r.t.state, r.start, r.at).limit(40).select("listing_id", "price_per_sqft"),
-       "SELECT listing_id, round(price_per_sqft, 6) AS price_per_sqft FROM newl ORDER BY newl.price_per_sqft NULLS LAST, rent_hkd NULLS FIRST, first_seen_at DESC, listing_id LIMIT 40")
-report("i6_source_missing", lambda r: R.source_missing(r.t.state, r.t.listings, r.start, r.at).limit(60).select("source_key", "first_missing_at", "rent_hkd"),
-       """SELECT source_key, CAST(first_missing_at AS VARCHAR) AS first_missing_at, rent_hkd FROM gone, tgt WHERE first_missing_at >= tgt.c - INTERVAL 29 DAY AND first_missing_at <= tgt.c
-          ORDER BY gone.first_missing_at DESC, rent_hkd NULLS FIRST, source_key LIMIT 60""")
+report("i5_new_listings", lambda r: R.new_listings(r.t.listings, r.t.state, r.start, r.at).select("listing_id", "price_per_sqft"),
+       "SELECT listing_id, round(price_per_sqft, 6) AS price_per_sqft FROM newl")
+report("i6_source_missing", lambda r: R.source_missing(r.t.state, r.t.listings, r.start, r.at).select("source_key", "first_missing_at", "rent_hkd"),
+       """SELECT source_key, CAST(first_missing_at AS VARCHAR) AS first_missing_at, rent_hkd FROM gone, tgt WHERE first_missing_at >= tgt.c - INTERVAL 29 DAY AND first_missing_at <= tgt.c""")
 report("i7_rent_decreases", lambda r: R.rent_decreases(r.cur, r.prev, r.at).select(*_CHG), f"SELECT {_CHG_SQL} FROM chg WHERE delta < 0")
 report("i8_value_watchlist", lambda r: R.value_watchlist(r.cur, r.at, r.low).select(*WATCH),
        _WATCH.format(note=_note("pct", "age"), src="disc", where="WHERE pct IS NOT NULL AND (pct <= -5 OR active_source_count >= 2)", order=_PRICE))

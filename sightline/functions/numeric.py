@@ -80,7 +80,7 @@ def int_or_none(col: Column) -> Column:
 
 
 def layout_from_bedroom(col: Column) -> Column:
-    n = col.try_cast("int")
+    n = F.regexp_replace(col.cast("string"), r"\.0+$", "").try_cast("int")  # a JSON number may be spelt 2.0
     return F.when(n == 0, F.lit(K.STUDIO)).otherwise(F.concat(n.cast("string"), F.lit(K.ROOM)))
 
 

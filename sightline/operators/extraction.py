@@ -49,11 +49,16 @@ def observation_identity(df: DataFrame) -> Column:
     )
 
 
+def _page_columns(pages: DataFrame) -> list[str]:
+    """Columns that name the page an observation came from; the run is one where pages have it."""
+    return [c for c in ("page_id", "run_id", "fetched_at", "source_site") if c in pages.columns]
+
+
 def page_links(pages: DataFrame) -> DataFrame:
     """Anchors of pages (page_id, source_site, source_url, html) that may be listings."""
-    found = pages.select("page_id", "source_site", "source_url", F.posexplode(H.anchors(F.col("html"))).alias("pos", "anchor"))
+    found = pages.select(*_page_columns(pages), "source_url", F.posexplode(H.anchors(F.col("html"))).alias("pos", "anchor"))
     raw = found.select(
-        "page_id", "source_site", "source_url", "pos",
+        *_page_columns(pages), "source_url", "pos",
         H.anchor_href(F.col("anchor")).alias("href"),
         H.clean_card_text(H.anchor_inner(F.col("anchor"))).alias("text"),
     ).where((F.col("href") != "") & (F.col("text") != ""))
@@ -89,19 +94,19 @@ def parse_cards(cards: DataFrame, terms: list[str]) -> DataFrame:
 
 def script_texts(pages: DataFrame) -> DataFrame:
     """Property texts of the JSON scripts of pages."""
-    payload = pages.select("page_id", "source_site", "source_url", F.posexplode(H.script_payloads(F.col("html"))).alias("s", "payload"))
-    texts = payload.select("page_id", "source_site", "source_url", "s", F.posexplode(H.property_texts(F.col("payload"))).alias("i", "text"))
+    payload = pages.select(*_page_columns(pages), "source_url", F.posexplode(H.script_payloads(F.col("html"))).alias("s", "payload"))
+    texts = payload.select(*_page_columns(pages), "source_url", "s", F.posexplode(H.property_texts(F.col("payload"))).alias("i", "text"))
     pos = F.struct(F.col("s"), F.col("i"))
-    return texts.select("page_id", "source_site", "source_url", pos.alias("pos"), "text")
+    return texts.select(*_page_columns(pages), "source_url", pos.alias("pos"), "text")
 
 
 def _fallback_texts(pages: DataFrame) -> DataFrame:
-    text = pages.select("page_id", "source_site", "source_url", H.strip_tags(F.col("html")).alias("page"))
+    text = pages.select(*_page_columns(pages), "source_url", H.strip_tags(F.col("html")).alias("page"))
     found = text.withColumn("ctx", H.rent_contexts(F.col("page")))
     pieces = F.when(X.has_listing_hint(F.col("page")), F.split(F.col("page"), "(?U)" + K.BOOKMARK_SPLIT))
     chunks = F.when(F.size("ctx") > 0, F.col("ctx")).otherwise(pieces)
-    return found.select("page_id", "source_site", "source_url", F.posexplode(chunks).alias("i", "text")).select(
-        "page_id", "source_site", "source_url", F.struct(F.lit(0).alias("s"), F.col("i")).alias("pos"), "text"
+    return found.select(*_page_columns(pages), "source_url", F.posexplode(chunks).alias("i", "text")).select(
+        *_page_columns(pages), "source_url", F.struct(F.lit(0).alias("s"), F.col("i")).alias("pos"), "text"
     )
 
 
@@ -111,7 +116,7 @@ def page_observations(pages: DataFrame, terms: list[str]) -> DataFrame:
     Parsed rows, not pages, are shuffled by page.
     """
     link = F.struct(F.lit(0).alias("s"), F.col("pos").alias("i"))
-    anchors = page_links(pages).select("page_id", "source_site", F.col("href").alias("source_url"), link.alias("pos"), "text")
+    anchors = page_links(pages).select(*_page_columns(pages), F.col("href").alias("source_url"), link.alias("pos"), "text")
     tagged = [df.withColumn("strategy", F.lit(n)) for n, df in enumerate([anchors, _fallback_texts(pages), script_texts(pages)])]
     parsed = parse_cards(tagged[0].unionByName(tagged[1]).unionByName(tagged[2]), terms)
     by_page = Window.partitionBy("page_id")

@@ -25,12 +25,13 @@ def read_html_files(spark: SparkSession, path: str, source_site: str) -> DataFra
 
 
 def scan_html(pages: DataFrame, terms: list[str]) -> DataFrame:
-    """Observations of a source's pages; a record found on several pages is kept from the first."""
+    """Observations of a source's pages; a record found on several pages of a run is kept from the first."""
     rows = E.page_observations(pages, terms)
     order = F.struct("page_id", "strategy")
-    cols = [c for c in rows.columns if c != "source_key"]
-    first = rows.groupBy("source_key").agg(F.min_by(F.struct(*cols), order).alias("_latest"))
-    return first.select("source_key", "_latest.*").drop("strategy")
+    keys = [c for c in ("run_id", "source_key") if c in rows.columns]
+    cols = [c for c in rows.columns if c not in keys]
+    first = rows.groupBy(*keys).agg(F.min_by(F.struct(*cols), order).alias("_first"))
+    return first.select(*keys, "_first.*").drop("strategy")
 
 
 def _paged(spark: SparkSession, path: str, item: str, rows: str) -> DataFrame:

@@ -134,3 +134,29 @@ def test_district_and_ids(spark):
     assert values(spark, ["位於 屯門 x"], lambda c: X.parse_district(c, ["长洲", "屯门"])) == ["屯门"]
     assert values(spark, ["x"], lambda c: X.source_listing_id(F.lit("other"), F.lit("http://a"), c))[0] != ""
     assert set(K.PUSHABLE) == set(K.SITES)
+
+
+def test_bedroom_numbers(spark):
+    assert values(spark, ["2.0", "0", "0.0", "3", "2.5", "x", None], N.layout_from_bedroom) == ["2房", "开放式", "开放式", "3房", None, None, None]
+
+
+def test_rent_contexts_keep_their_surroundings(spark):
+    text = "甲" * 300 + "租 $ 8,100" + "乙" * 300 + "租9000"
+    first, second = values(spark, [text], H.rent_contexts)[0]
+    assert first == text[40:569] and second == text[349:] and values(spark, ["none", ""], H.rent_contexts) == [[], []]
+
+
+def test_every_run_of_a_record_is_kept(spark):
+    from sightline.sources import landed
+
+    card = '<a href="https://www.midland.com.hk/zh-cn/property/bar-M700000001">河岸轩 5座 低层 C室 2房 实用 412呎 租 $%s</a>'
+    rows = [(1, 1, "midland", "u", card % "10,000"), (2, 2, "midland", "u", card % "9,000"), (3, 2, "midland", "u", card % "8,000")]
+    got = landed.scan_html(spark.createDataFrame(rows, landed.PAGE), TERMS).collect()
+    assert sorted((r.run_id, r.rent_hkd) for r in got) == [(1, 10000), (2, 9000)]
+
+
+def test_removed_listings_are_those_that_went(spark):
+    from sightline.operators import reports
+
+    now, before = (spark.createDataFrame([(i,) for i in ids], "listing_id bigint") for ids in ([2, 3], [1, 2]))
+    assert [r.listing_id for r in reports.removed_listings(now, before).collect()] == [1]
