@@ -29,6 +29,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,8 +120,8 @@ def _packed(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
         later, lead = _lead(all_.whole(), all_.doc, all_.start)
         local = _path_batch(all_.doc[later], all_.start[later], all_.n[later], all_.doc[lead], all_.start[lead])
         if local.num_rows:
-            blank = [pa.nulls(local.num_rows, pa.int64()), pa.nulls(local.num_rows, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*blank, *local.columns], names=names)
+            place = [pa.array(all_.doc[later] % buckets), pa.nulls(local.num_rows, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*place, *local.columns], names=names)
         left = np.ones(len(all_.doc), bool)
         left[later] = False
         rest = all_.take(np.flatnonzero(left))
@@ -192,10 +193,14 @@ def _bucket_paths(parts: list[_SuperKmers]) -> pa.RecordBatch | None:
 
 
 def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Paths of each bucket; rows come sorted by bucket."""
+    """Paths of each bucket, and those that tasks found by themselves; rows come sorted by bucket."""
     parts: list[_SuperKmers] = []
     at = None
     for batch in batches:
+        found_before = pa.compute.is_null(batch.column("rows"))
+        if (local := batch.filter(found_before)).num_rows:
+            yield local.select(["doc", "start", "n", "source", "source_start"])
+        batch = batch.filter(pa.compute.invert(found_before))
         for bucket, blob in zip(batch.column("bucket").to_numpy(), batch.column("rows"), strict=True):
             if bucket != at and parts:
                 if (found := _bucket_paths(parts)) is not None:
@@ -210,11 +215,8 @@ def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_paths(docs: DataFrame) -> DataFrame:
     """Runs of windows that also start earlier: doc, start, n windows, source, source_start. ``docs``: doc, text."""
     n = partitions(docs.sparkSession)
-    names = "bucket long, rows binary, " + _PATHS
-    sent = cut(docs.mapInArrow(_packed(8 * n), names), "superkmers")
-    buckets = sent.where("bucket is not null").select("bucket", "rows").repartition(n, "bucket").sortWithinPartitions("bucket")
-    local = sent.where("bucket is null").select("doc", "start", "n", "source", "source_start")
-    return buckets.mapInArrow(_paths, _PATHS).unionByName(local)
+    sent = docs.mapInArrow(_packed(8 * n), "bucket long, rows binary, " + _PATHS)
+    return sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_paths, _PATHS)
 
 
 def compact(paths: DataFrame) -> DataFrame:
