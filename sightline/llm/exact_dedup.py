@@ -44,7 +44,8 @@ def frequent(rows: DataFrame) -> DataFrame:
     parts = rows.groupBy(F.pmod(F.spark_partition_id(), F.lit(SUMMARIES)).alias("part")).agg(
         F.expr(f"approx_top_k_accumulate(hex(digest), {TRACKED})").alias("summary")
     )
-    top = parts.agg(F.expr(f"approx_top_k_combine(summary, {TRACKED})").alias("summary")).select(
+    # grouped, as a partition without a summary cannot be combined
+    top = parts.groupBy((F.col("part") * 0).alias("all")).agg(F.expr(f"approx_top_k_combine(summary, {TRACKED})").alias("summary")).select(
         F.explode(F.expr(f"approx_top_k_estimate(summary, {TRACKED // 4})")).alias("top")
     )
     candidates = top.where("top.count > 1").select(F.unhex("top.item").alias("digest"))
