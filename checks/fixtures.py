@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from datetime import date
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -100,6 +101,8 @@ FROM props
 
 TERMS = ["示例区", "屯门", "屯門"]
 LAYOUTS = [K.STUDIO, "1房", "2房", "3房", K.UNLABELLED]
+# A report date at which listings have gone since the day before.
+EARLY_DATE = date(2024, 1, 9)
 FILTERS = Filters(
     min_rent=6000, max_rent=30000, min_area=210, max_area=900, min_gross_area=250, max_gross_area=1200,
     min_building_age=1, max_building_age=48, min_psf=5, max_psf=90, layouts=["一房", "两房", "studio"],

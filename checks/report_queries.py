@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from checks.fixtures import LAYOUTS, Tables
+from checks.fixtures import EARLY_DATE, LAYOUTS, Tables
 from checks.flagship import WATCH
 from checks.oracle import CTES, label
-from checks.registry import register
+from checks.registry import at_date, register
 from sightline.operators import current as C
 from sightline.operators import reports as R
 from sightline.operators.filters import in_range
@@ -19,14 +19,14 @@ from sightline.plans import daily_report as D
 
 
 class Report:
-    """Snapshots of the last run, the day and the week before, and new listings of the last 29 days."""
+    """Snapshots of the last run (of a date), the day and the week before, and new listings of the last 29 days."""
 
-    def __init__(self, t: Tables):
-        refs = D.periods(t.runs)
+    def __init__(self, t: Tables, day: date | None = None):
+        refs = D.periods(t.runs, day)
         at = refs["current"].started_at
         self.t, self.at = t, F.lit(at)
         self.start = F.lit(at - timedelta(days=29))
-        self.snap = t.stored("period-snapshots", lambda: D.period_snapshots(t.obs, t.listings, t.state, refs))
+        self.snap = t.stored(f"period-snapshots-{day or 'last'}", lambda: D.period_snapshots(t.obs, t.listings, t.state, refs))
         self.cur, self.prev, self.week = (self.snap.where(F.col("period") == p) for p in ("current", "day", "week"))
         self.day = refs["current"].local_date
 
@@ -51,10 +51,15 @@ class Report:
         return R.withdrawn(self.t.state, self.t.listings, self.at)
 
 
-def report(name: str, build, oracle: str | None = None) -> None:
+def report(name: str, build, oracle: str) -> None:
     register(name, lambda t: build(Report(t)), oracle)
 
 
+def early_report(name: str, build, oracle: str) -> None:
+    """A report on a date at which listings have gone since the day before."""
+    register(name, lambda t: build(Report(t, EARLY_DATE)), at_date(oracle, EARLY_DATE))
+
+
 def r6(*names: str) -> str:
     return ", ".join(f"round({n}, 6) AS {n}" for n in names)
 
@@ -105,7 +110,7 @@ _CHG = ["listing_id", "previous_rent_hkd", "rent_hkd", "rent_delta_hkd", "rent_d
 _CHG_SQL = """listing_id, previous_rent_hkd, rent_hkd, delta AS rent_delta_hkd, round(CASE WHEN previous_rent_hkd <> 0 THEN delta / previous_rent_hkd * 100 END, 6) AS rent_delta_pct,
     round(age, 6) AS local_age_days"""
 report("f11_rent_changes", lambda r: R.rent_changes(r.cur, r.prev, r.at).select(*_CHG), f"SELECT {_CHG_SQL} FROM chg")
-report("f12_removed_listings", lambda r: r.removed.select("listing_id", "rent_hkd"), "SELECT listing_id, rent_hkd FROM remv")
+early_report("f12_removed_listings", lambda r: r.removed.select("listing_id", "rent_hkd"), "SELECT listing_id, rent_hkd FROM remv")
 report("f13_rows_with_layout_stats", lambda r: R.with_discount(r.new, r.cur).select("listing_id", "psf_vs_layout_avg_pct"), "SELECT listing_id, round(pct, 6) AS psf_vs_layout_avg_pct FROM nlm")
 _G7 = f"""SELECT g.*, {", ".join(f"round(lc.{c} - {a}.{c}, 6) AS {c}_delta_{s}" for s, a in (("day", "lp"), ("week", "lw")) for c in ("count", "avg_rent", "avg_psf"))}
     FROM (SELECT {label('layout')} AS layout, {_STATS} FROM cur GROUP BY 1) g JOIN lc ON lc.layout = g.layout LEFT JOIN lp ON lp.layout = g.layout LEFT JOIN lw ON lw.layout = g.layout"""
@@ -164,12 +169,13 @@ def _per_band(src: str, name: str) -> str:
     return f"LEFT JOIN (SELECT band, count(*) AS {name} FROM {_inband(src)} GROUP BY 1) USING (band)"
 
 
-report("g11_budget_stats", lambda r: R.budget_stats(r.cur, r.prev, r.new, r.removed, r.reference, LAYOUTS),
-       f"""SELECT CAST(band AS INT) AS band, {_BAND_NAME} AS rent_band, rent_lower, rent_upper, coalesce(a, 0) AS active_count, coalesce(a, 0) - coalesce(p, 0) AS active_delta_day,
+_G11 = f"""SELECT CAST(band AS INT) AS band, {_BAND_NAME} AS rent_band, rent_lower, rent_upper, coalesce(a, 0) AS active_count, coalesce(a, 0) - coalesce(p, 0) AS active_delta_day,
            coalesce(n, 0) AS new_count, coalesce(d, 0) AS removed_count, avg_rent, avg_psf, {", ".join(f'coalesce("layout_{v}", 0) AS "layout_{v}"' for v in LAYOUTS)} FROM bands
            LEFT JOIN (SELECT band, count(*) AS a, round(avg(rent_hkd), 6) AS avg_rent, round(avg(price_per_sqft), 6) AS avg_psf,
              {", ".join(f'''count(*) FILTER (WHERE {label('layout')} = '{v}') AS "layout_{v}"''' for v in LAYOUTS)} FROM {_inband('cur')} GROUP BY 1) USING (band)
-           {_per_band('prv', 'p')} {_per_band('newl', 'n')} {_per_band('remv', 'd')}""")
+           {_per_band('prv', 'p')} {_per_band('newl', 'n')} {_per_band('remv', 'd')}"""
+for _build, _name in ((report, "g11_budget_stats"), (early_report, "g11_budget_stats_early")):
+    _build(_name, lambda r: R.budget_stats(r.cur, r.prev, r.new, r.removed, r.reference, LAYOUTS), _G11)
 report("g12_withdrawal_lag_stats", lambda r: R.withdrawal_lag_stats(r.gone),
        """SELECT b AS lag_bucket, coalesce(n, 0) AS source_missing_count, round(100.0 * coalesce(n, 0) / (SELECT count(*) FROM wd), 6) AS share_pct, avg_rent, avg_psf
           FROM (SELECT unnest(['0-7天', '8-14天', '15-30天', '30天以上', '未知']) AS b) LEFT JOIN (SELECT bucket AS b, count(*) AS n, round(avg(rent_hkd), 6) AS avg_rent,
@@ -193,9 +199,10 @@ CTES["over"] = f"""SELECT a.count, a.avg_rent, a.avg_psf, {", ".join(f"a.{c} - n
     FROM (SELECT {_RAW} FROM cur) a, (SELECT {_RAW} FROM prv) b, (SELECT {_RAW} FROM wk) w"""
 report("g15_market_overview", lambda r: R.market_overview(r.snap),
        f"""SELECT count, {r6('avg_rent', 'avg_psf')}, count_delta_day, count_delta_week, {r6('avg_rent_delta_day', 'avg_psf_delta_day', 'avg_rent_delta_week', 'avg_psf_delta_week')} FROM over""")
-report("g16_market_heat", lambda r: R.market_heat(R.market_overview(r.snap), r.new, r.removed),
-       """SELECT count, (SELECT count(*) FROM newl) AS new_count, (SELECT count(*) FROM remv) AS removed_count, count_delta_day < 0 AS supply_shrinking, avg_rent_delta_day > 0 AS rents_rising,
-          (SELECT count(*) FROM remv) > (SELECT count(*) FROM newl) AS removals_exceed_additions, count_delta_day IS NOT NULL AS has_baseline FROM over""")
+_G16 = """SELECT count, (SELECT count(*) FROM newl) AS new_count, (SELECT count(*) FROM remv) AS removed_count, count_delta_day < 0 AS supply_shrinking, avg_rent_delta_day > 0 AS rents_rising,
+          (SELECT count(*) FROM remv) > (SELECT count(*) FROM newl) AS removals_exceed_additions, count_delta_day IS NOT NULL AS has_baseline FROM over"""
+for _build, _name in ((report, "g16_market_heat"), (early_report, "g16_market_heat_early")):
+    _build(_name, lambda r: R.market_heat(R.market_overview(r.snap), r.new, r.removed), _G16)
 register("g17_tracking_days", lambda t: tracking_days(t.runs, t.obs.select(F.when(F.col("obs_id") % 900 == 0, F.lit("latest")).otherwise(F.date_format("run_date", "yyyy-MM-dd")).alias("report_date"))),
          """SELECT d AS report_date, CASE WHEN d > f THEN 1 + (SELECT count(DISTINCT CAST(run_date AS VARCHAR)) FROM obs WHERE obs_id % 900 <> 0 AND CAST(run_date AS VARCHAR) > f AND CAST(run_date AS VARCHAR) <= d) ELSE 1 END AS tracking_days
             FROM (SELECT DISTINCT CAST(run_date AS VARCHAR) AS d FROM obs WHERE obs_id % 900 <> 0), (SELECT CAST(min(run_date) AS VARCHAR) AS f FROM runs WHERE status = 'ok')

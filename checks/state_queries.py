@@ -7,9 +7,9 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from checks.fixtures import LAYOUTS, Tables
-from checks.oracle import STRICT, identity, sha
-from checks.registry import register
+from checks.fixtures import EARLY_DATE, LAYOUTS, Tables
+from checks.oracle import CTES, STRICT, identity, sha
+from checks.registry import at_date, register
 from sightline.functions import keys
 from sightline.functions import numeric as N
 from sightline.operators import history as H
@@ -159,7 +159,29 @@ def _resolved(t: Tables) -> DataFrame:
     return M.resolve_batch(batch, old.select("source_key", "listing_id"), old).select("obs_id", "listing_id", "resolved_by")
 
 
-register("k8_resolve_batch", _resolved)
+CTES["k8key"] = f"SELECT n.*, {identity('u.').replace('u.title', 'NULL')} AS ik FROM nu n JOIN units u USING (id)"
+CTES["k8new"] = "SELECT * FROM k8key WHERE id % 2 = 1 AND NOT (id % 10 = 1 AND id - 1 IN (SELECT id FROM units))"
+CTES["k8same"] = f"""SELECT a.id, b.id AS listing_id FROM k8new a JOIN (SELECT * FROM k8key WHERE id % 2 = 0
+    QUALIFY row_number() OVER (PARTITION BY ik ORDER BY id) = 1) b ON a.ik = b.ik AND {STRICT}"""
+CTES["k8cand"] = f"SELECT a.id, min(b.id) AS listing_id FROM k8new a JOIN (SELECT * FROM k8key WHERE id % 2 = 0) b ON {STRICT} GROUP BY a.id"
+CTES["k8open"] = """SELECT *, row_number() OVER (ORDER BY id) AS n FROM k8new
+    WHERE id NOT IN (SELECT id FROM k8same) AND id NOT IN (SELECT id FROM k8cand)"""
+# one step per open row in the order of ids: it joins the lowest leader that it matches, else it becomes one
+register("k8_resolve_batch", _resolved,
+         f"""SELECT id AS obs_id, id - 1 AS listing_id, 'source' AS resolved_by FROM units WHERE id % 10 = 1 AND id - 1 IN (SELECT id FROM units)
+             UNION ALL SELECT id, listing_id, 'identity' FROM k8same
+             UNION ALL SELECT id, listing_id, 'candidate' FROM k8cand WHERE id NOT IN (SELECT id FROM k8same)
+             UNION ALL SELECT id, leader, 'batch' FROM (
+               WITH RECURSIVE row_ AS MATERIALIZED (
+                 SELECT o.n, o.id, e.before FROM k8open o LEFT JOIN (
+                   SELECT b.id, list(a.id) AS before FROM k8open a JOIN k8open b ON a.id < b.id AND {STRICT} GROUP BY b.id) e ON e.id = o.id
+               ), walk AS (
+                 SELECT CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS id, CAST(0 AS BIGINT) AS leader, CAST([] AS BIGINT[]) AS leaders
+                 UNION ALL
+                 SELECT r.n, r.id, coalesce(r.found, r.id), CASE WHEN r.found IS NULL THEN list_append(r.leaders, r.id) ELSE r.leaders END
+                 FROM (SELECT row_.n, row_.id, walk.leaders, list_min(list_intersect(row_.before, walk.leaders)) AS found
+                       FROM walk JOIN row_ ON row_.n = walk.n + 1) r
+               ) SELECT id, leader FROM walk WHERE n > 0)""")
 register("k9_run_status", lambda t: t.runs.select("run_id", L.run_status(F.col("run_id") % 11 == 0, F.col("run_id") % 13 == 0, F.col("run_id") % 10 - 6).alias("run_status")),
          "SELECT run_id, CASE WHEN run_id % 11 = 0 THEN 'blocked' WHEN run_id % 13 = 0 THEN 'failed' WHEN run_id % 10 > 6 THEN 'partial' ELSE 'ok' END AS run_status FROM runs")
 
@@ -199,7 +221,7 @@ register("g19_source_summary", lambda t: L.source_summary(t.state).select(
             F.array_join(F.transform(F.map_values("source_summary"), lambda r: r["url"]), ",").alias("urls")),
          """SELECT listing_id, count(*) AS sources_count, bool_or(active) AS active, string_agg(source_site, ',' ORDER BY source_site) AS sites,
             string_agg(source_url, ',' ORDER BY source_site) AS urls FROM state GROUP BY listing_id""")
-register("j1_removed_ids", lambda t: _removed(t), "SELECT listing_id FROM remv")
+register("j1_removed_ids", lambda t: _removed(t), at_date("SELECT listing_id FROM remv", EARLY_DATE))
 register("j2_unseen_keys", lambda t: L.unseen_keys(t.state, t.seen.where("run_id = 30")).select("source_key"),
          "SELECT source_key FROM state WHERE active AND source_key NOT IN (SELECT source_key FROM seen WHERE run_id = 30)")
 register("j3_first_occurrence", lambda t: t.obs.groupBy("source_key").agg(F.min("obs_id").alias("obs_id")),
@@ -211,7 +233,7 @@ register("j5_report_dates", lambda t: R.ok_runs(t.runs).select("run_date").union
 
 
 def _removed(t: Tables) -> DataFrame:
-    refs = D.periods(t.runs)
+    refs = D.periods(t.runs, EARLY_DATE)
     snap = D.period_snapshots(t.obs, t.listings, t.state, refs)
     from sightline.operators.reports import removed_listings
 

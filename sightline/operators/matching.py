@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 from sightline import constants as K
 from sightline.functions.text import blank_to_null, normalize_text
@@ -126,10 +127,15 @@ def _profiles(df: DataFrame) -> DataFrame:
 
 
 def _join_profile(rows: DataFrame, found: DataFrame, how: str = "left") -> DataFrame:
-    """Back from profiles to rows; equal profiles are null-safe through a text key."""
+    """Back from profiles to rows; equal profiles are null-safe through a text key.
+
+    Rows that match nothing get keys of their own by content, so that they do not meet in one partition.
+    """
     key = F.concat_ws("\x1f", F.col("mask").cast("string"), F.col("rent").cast("string"), *FIELDS)
     right = found.select(key.alias("_profile"), "best", "matches")
-    keyed = rows.withColumn("_profile", F.when(F.col("rent").isNotNull() & (F.bit_count("mask") >= MIN_SHARED), key))
+    alone = F.concat(F.lit("\x1e"), F.xxhash64(*[f.name for f in rows.schema if isinstance(f.dataType, AtomicType)]).cast("string"))
+    comparable = F.col("rent").isNotNull() & (F.bit_count("mask") >= MIN_SHARED)
+    keyed = rows.withColumn("_profile", F.when(comparable, key).otherwise(alone))
     return keyed.join(right, "_profile", how).drop("_profile")
 
 
@@ -150,8 +156,9 @@ def same_identity(observations: DataFrame, listings: DataFrame) -> DataFrame:
 def best_candidate(observations: DataFrame, listings: DataFrame) -> DataFrame:
     """Adds ``candidate_id``: the strict match that is active first, then seen last, then oldest; all listings compete."""
     rank = F.struct((~F.col("active")).alias("gone"), (-F.unix_micros("last_seen_at")).alias("age"), "listing_id")
-    probes, known = _comparable(observations), _comparable(listings)
-    found = best_in_reach(_profiles(observations), known, rank, _masks(probes), _masks(known))
+    probes = cut(_profiles(observations), "probes")
+    known = cut(_comparable(listings).select(*PROFILE, "active", "last_seen_at", "listing_id"), "candidates")
+    found = best_in_reach(probes, known, rank, _masks(probes), _masks(known))
     return _join_profile(observations, found).withColumn("candidate_id", F.col("best.listing_id")).drop("best", "matches")
 
 
@@ -160,9 +167,9 @@ def match_summary(units: DataFrame, id_col: str) -> DataFrame:
 
     The pairs themselves grow with the square of the copies and are not listed.
     """
-    rows = _comparable(units)
+    rows = cut(_comparable(units).select(*PROFILE, id_col), "units")
     masks = _masks(rows)
-    found = best_in_reach(_profiles(units), rows, F.col(id_col), masks, masks)
+    found = best_in_reach(_profiles(rows), rows, F.col(id_col), masks, masks)
     return _join_profile(units, found).withColumns(
         {"matches": F.coalesce(F.col("matches") - 1, F.lit(0)), "first_match": F.coalesce("best", F.col(id_col))}
     ).drop("best")

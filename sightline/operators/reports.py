@@ -1,13 +1,15 @@
 """Report tables over snapshots: comparisons, price bands, watchlists and withdrawals.
 
-Snapshots have one row per active listing (see ``snapshots``). Group tables such
-as the layout averages are joined without a hint: adaptive execution broadcasts
-them once their real size is known to be small, and splits hot keys otherwise.
+Snapshots have one row per active listing (see ``snapshots``). Layout averages are
+written once and looked up by ``session.lookup_join``, as a layout may hold any
+share of the listings. Other group tables are joined without a hint: adaptive
+execution broadcasts them once their real size is known to be small.
 """
 
 from __future__ import annotations
 
 from datetime import date, datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 from sightline import constants as K
 from sightline.functions import numeric as N
 from sightline.functions.text import blank_to_null, compact_money
+from sightline.session import cut, lookup_join
 
 STATS = ["count", "avg_rent", "median_rent", "min_rent", "avg_psf", "median_psf", "avg_area"]
 
@@ -228,26 +231,30 @@ def budget_stats(
 
     The column list is an argument, so no extra job looks for layouts.
     """
-    def counts(df: DataFrame, name: str) -> DataFrame:
-        return with_band(df, reference).where("band is not null").groupBy("band").agg(F.count("*").alias(name))
-
-    labelled = with_band(current, reference).where("band is not null").withColumn("_layout", label("layout"))
-    now = labelled.groupBy("band").agg(
-        F.count("*").alias("active_count"),
-        F.avg("rent_hkd").alias("avg_rent"),
-        F.avg("price_per_sqft").alias("avg_psf"),
-        *[F.count_if(F.col("_layout") == v).alias(f"layout_{v}") for v in layouts],
+    parts = {"now": current, "before": previous, "new": new, "removed": removed}
+    rows = [
+        df.select(F.lit(part).alias("_part"), "rent_hkd", "price_per_sqft", label("layout").alias("_layout"))
+        for part, df in parts.items() if df is not None
+    ]
+    banded = with_band(reduce(DataFrame.unionByName, rows), reference).where("band is not null")
+    of = {part: F.col("_part") == part for part in parts}
+    by_band = banded.groupBy("band").agg(
+        F.count_if(of["now"]).alias("active_count"),
+        F.avg(F.when(of["now"], F.col("rent_hkd"))).alias("avg_rent"),
+        F.avg(F.when(of["now"], F.col("price_per_sqft"))).alias("avg_psf"),
+        *[F.count_if(of["now"] & (F.col("_layout") == v)).alias(f"layout_{v}") for v in layouts],
+        F.count_if(of["new"]).alias("new_count"),
+        F.count_if(of["removed"]).alias("removed_count"),
+        F.count_if(of["before"]).alias("_before"),
     )
-    out = rent_bands(reference).join(now, "band", "left")
-    out = out.join(counts(new, "new_count"), "band", "left").join(counts(removed, "removed_count"), "band", "left")
+    out = rent_bands(reference).join(by_band, "band", "left")
     zero = ["active_count", "new_count", "removed_count", *[f"layout_{v}" for v in layouts]]
     if previous is None:
-        out = out.withColumn("active_delta_day", F.lit(None).cast("bigint"))
+        change = F.lit(None).cast("bigint")
     else:
-        out = out.join(counts(previous, "_before"), "band", "left")
         any_before = F.lit(True) & (previous.agg(F.count("*")).scalar() > 0)
-        change = F.coalesce("active_count", F.lit(0)) - F.coalesce("_before", F.lit(0))
-        out = out.withColumn("active_delta_day", F.when(any_before, change)).drop("_before")
+        change = F.when(any_before, F.coalesce("active_count", F.lit(0)) - F.coalesce("_before", F.lit(0)))
+    out = out.withColumn("active_delta_day", change).drop("_before")
     out = out.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in zero})
     cols = [c for c in K.BUDGET_EXPORT if c in out.columns]
     return out.select("band", *cols, *[f"layout_{v}" for v in layouts]).orderBy("band")
@@ -326,7 +333,7 @@ def withdrawal_lag_stats(events: DataFrame) -> DataFrame:
 def with_discount(rows: DataFrame, baseline: DataFrame) -> DataFrame:
     """Adds the price per area against the average of the same layout in ``baseline``, in percent."""
     avg = baseline.groupBy(label("layout").alias("_layout")).agg(F.avg("price_per_sqft").alias("_avg_psf"))
-    joined = rows.withColumn("_layout", label("layout")).join(avg, "_layout", "left")
+    joined = lookup_join(rows.withColumn("_layout", label("layout")), cut(avg, "layout-averages"), ["_layout"], "left", salt="listing_id")
     return joined.withColumn("psf_vs_layout_avg_pct", N.discount_pct(F.col("price_per_sqft"), F.col("_avg_psf"))).drop("_layout", "_avg_psf")
 
 
