@@ -23,7 +23,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline.llm.common import columns_of, fold_of, small_batches
@@ -31,6 +31,8 @@ from sightline.llm.tokens import U64, chunks, letter_table, lookup, mix, words
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLE = 400
+#: Parts of a language that are ranked on their own first.
+SALTS = 16
 WORDS = 30_000
 LONGEST = 24
 EVIDENCE = 12
@@ -217,16 +219,23 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _first(rows: DataFrame, n: int, *order: Column) -> DataFrame:
+    """The first ``n`` rows of each language. First those of each of SALTS parts of a language, so that no task gets all of a language."""
+    part = F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS))
+    for keys in (["lang", "part"], ["lang"]):
+        at = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        rows = rows.withColumn("part", part if "part" in keys else F.lit(0)).withColumn("at", at).where(F.col("at") <= n).drop("at", "part")
+    return rows
+
+
 def learn(labelled: DataFrame, path: str = VOCABULARY, sample: int = SAMPLE, n_words: int = WORDS) -> tuple[Pieces, np.ndarray, list[str]]:
     """Model from labelled documents (doc_id, text, lang): pieces, probabilities, languages in order."""
     small_batches(labelled.sparkSession)
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = labelled.select("doc_id", "lang").withColumn("at", F.row_number().over(by_hash)).where(F.col("at") <= sample)
+    picked = _first(labelled.select("doc_id", "lang"), sample, F.xxhash64("doc_id"), F.col("doc_id"))
     texts = labelled.join(F.broadcast(picked.select("doc_id").distinct()), "doc_id", "left_semi")
     counted = texts.select("lang", F.lower("text").alias("text")).mapInArrow(_counted, "lang string, word binary, n long")
     counted = counted.groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    top = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    rows = counted.withColumn("at", F.row_number().over(top)).where(F.col("at") <= n_words).select("lang", "word", "n").toArrow()
+    rows = _first(counted, n_words, F.desc("n"), F.col("word")).toArrow()
     langs = sorted(set(rows["lang"].to_pylist()))
     pieces = Pieces(vocabulary(path))
     if not langs:
