@@ -192,17 +192,17 @@ def test_leaders_equal_greedy(spark):
         assert got[a[0]] == (found or a)[0]
 
 
-def observation(key, rent, block="2B座", flat="D室", area=306):
-    return (key, "示例苑", block, "高层", flat, "1房", area, rent)
+def observation(key, rent, block="12座", flat="K室", area=488):
+    return (key, "河岸轩", block, "低层", flat, "2房", area, rent)
 
 
 CASES = [
-    (observation("m:1", 18000), observation("h:1", 18100), True),
-    (observation("m:1", 18000), observation("h:1", 18501), False),
-    (observation("m:1", 18000, "1A座"), observation("h:1", 18100, "1B座"), False),
-    (observation("m:1", 18000), observation("h:1", 18100, area=307), False),
-    (observation("c:1", 18000, flat=None), observation("c:2", 18100, flat=None), True),
-    (observation("m:1", 18000), observation("m:1", 25000), True),
+    (observation("p:4", 21000), observation("q:9", 21500), True),
+    (observation("p:4", 21000), observation("q:9", 20499), False),
+    (observation("p:4", 21000, "12座"), observation("q:9", 21000, "14座"), False),
+    (observation("p:4", 21000), observation("q:9", 21000, area=480), False),
+    (observation("p:4", 21000, flat=None), observation("p:5", 20700), True),
+    (observation("p:4", 21000), observation("p:4", 9000, "14座"), True),
 ]
 
 
@@ -239,24 +239,24 @@ def test_missing_gate(spark):
 SEARCH = "source_site string, title string, estate_name string, district string, layout string, rent_hkd int, usable_area_sqft int, gross_area_sqft int, building_age_years int, price_per_sqft double"
 
 
-def kept(spark, filters, terms=("示例区",), **changes):
-    row = {"source_site": "hkp", "title": "示例区 示例苑 2B座 高层 D室 1房 实用 306呎 租 $18,000", "estate_name": "示例苑", "district": "示例区", "layout": "1房",
-           "rent_hkd": 18000, "usable_area_sqft": 306, "gross_area_sqft": 420, "building_age_years": 20, "price_per_sqft": 58.82} | changes
+def kept(spark, filters, terms=("河畔区",), **changes):
+    row = {"source_site": "hkp", "title": "河畔区 湖景台 7座 中层 F室 2房", "estate_name": "湖景台", "district": "河畔区", "layout": "2房",
+           "rent_hkd": 23500, "usable_area_sqft": 430, "gross_area_sqft": 560, "building_age_years": 12, "price_per_sqft": 54.65} | changes
     df = spark.createDataFrame([row], SEARCH)
     return FL.filter_observations(df, filters, list(terms)).count() == 1
 
 
 def test_filters(spark):
-    area = FL.Filters(max_rent=22000, min_area=300, max_area=500, layouts=["1房"])
+    area = FL.Filters(max_rent=26000, min_area=420, max_area=600, layouts=["2房"])
     assert kept(spark, area)
-    assert not any(kept(spark, area, usable_area_sqft=v) for v in (299, 501, None))
-    psf = FL.Filters(min_psf=55, max_psf=60)
-    assert kept(spark, psf) and not any(kept(spark, psf, price_per_sqft=v) for v in (52.29, 62.09, None))
+    assert not any(kept(spark, area, usable_area_sqft=v) for v in (419, 601, None))
+    psf = FL.Filters(min_psf=50, max_psf=58)
+    assert kept(spark, psf) and not any(kept(spark, psf, price_per_sqft=v) for v in (49.99, 58.01, None))
     assert kept(spark, FL.Filters(max_rent=9000), rent_hkd=None)
-    words = FL.Filters(keywords=["高层", "D室"])
-    assert kept(spark, words) and not kept(spark, words, title="示例区 示例苑 2B座 高层 E室 1房")
-    assert not kept(spark, FL.Filters(excluded_estates=["示例苑"]))
-    assert kept(spark, FL.Filters(layouts=["开放式"]), terms=["屯门", "屯門"], title="屯門 示例苑", district="屯門", layout="开放式")
+    words = FL.Filters(keywords=["中层", "F室"])
+    assert kept(spark, words) and not kept(spark, words, title="河畔区 湖景台 7座 中层 G室 2房")
+    assert not kept(spark, FL.Filters(excluded_estates=["湖景台"]))
+    assert kept(spark, FL.Filters(layouts=["开放式"]), terms=["屯门", "屯門"], title="屯門 湖景台", district="屯門", layout="开放式")
 
 
 def market(spark, rents):
@@ -264,24 +264,24 @@ def market(spark, rents):
 
 
 def test_percentile_and_bands(spark):
-    five = market(spark, [33000, 62000, 88000, 146000, 238000])
-    assert R.rent_percentile(five).first()[0] == 62000
+    five = market(spark, [12000, 19500, 27000, 41000, 76000])
+    assert R.rent_percentile(five).first()[0] == 19500
     bands = R.rent_bands(five).orderBy("band").collect()
-    assert [(b.rent_lower, b.rent_upper) for b in bands] == [(None, 50000), (50001, 100000), (100001, 150000), (150001, None)]
-    assert [b.rent_band for b in bands] == ["<=$50,000", "$50,001-$100,000", "$100,001-$150,000", ">$150,000"]
+    assert [(b.rent_lower, b.rent_upper) for b in bands] == [(None, 20000), (20001, 40000), (40001, 60000), (60001, None)]
+    assert [b.rent_band for b in bands] == ["<=$20,000", "$20,001-$40,000", "$40,001-$60,000", ">$60,000"]
     one = R.rent_bands(market(spark, [9000, 9000])).collect()
     assert [(b.rent_band, b.rent_lower, b.rent_upper) for b in one] == [("$9,000", 9000, 9000)]
     close = R.rent_bands(market(spark, [9001, 9002])).collect()
     assert [(b.rent_band, b.rent_lower, b.rent_upper) for b in close] == [("$9,001-$9,002", 9001, 9002)]
     assert R.rent_bands(market(spark, [None])).count() == 0
-    placed = R.with_band(market(spark, [33000, 60000, 900000, None]), five)
-    assert {r.rent_hkd: r.band for r in placed.collect()} == {33000: 0, 60000: 1, 900000: 3, None: None}
+    placed = R.with_band(market(spark, [12000, 25000, 900000, None]), five)
+    assert {r.rent_hkd: r.band for r in placed.collect()} == {12000: 0, 25000: 1, 900000: 3, None: None}
 
 
 def test_stale_watchlist_literal(spark):
-    row = [(1, 33000, 80.0, "2房", datetime(2026, 5, 1), 1)]
+    row = [(7, 11800, 38.0, "3房", datetime(2025, 3, 3), 2)]
     df = spark.createDataFrame(row, "listing_id bigint, rent_hkd int, price_per_sqft double, layout string, first_seen_at timestamp, active_source_count bigint")
-    got = R.stale_watchlist(df, datetime(2026, 6, 1), 62000).collect()
+    got = R.stale_watchlist(df, datetime(2025, 4, 20), 12500).collect()
     assert len(got) == 1 and "预算友好" in got[0].action_note
 
 
