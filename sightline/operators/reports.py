@@ -149,6 +149,13 @@ def known_rents(listings: DataFrame) -> DataFrame:
     )
 
 
+def rent_reference(listings: DataFrame, current: DataFrame) -> DataFrame:
+    """Rents that bands and cutoffs refer to: those of all listings, or of the current rows where no listing has one."""
+    known = known_rents(listings)
+    none = F.lit(True) & (known.agg(F.count("*")).scalar() == 0)
+    return known.unionByName(current.where(none & F.col("rent_hkd").isNotNull()).select(*known.columns))
+
+
 def rent_distribution(listings: DataFrame) -> DataFrame:
     """Non-null current rents of all listings, ascending."""
     return known_rents(listings).orderBy("rent_hkd", "listing_id")

@@ -52,7 +52,7 @@ def daily_report(
     start = F.lit(target.local_date).cast("timestamp")
     new = R.first_seen_between(listings, state, start, cutoff)
     removed = R.with_age(R.removed_listings(cur, prev), cutoff)
-    reference = R.known_rents(listings)
+    reference = R.rent_reference(listings, cur)
     low = R.rent_percentile(reference)
     overview = R.market_overview(snap)
     speed = velocity(listings, state, sources, runs, target.local_date)

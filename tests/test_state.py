@@ -278,6 +278,15 @@ def test_percentile_and_bands(spark):
     assert {r.rent_hkd: r.band for r in placed.collect()} == {12000: 0, 25000: 1, 900000: 3, None: None}
 
 
+def test_rent_reference_falls_back_to_current_rows(spark):
+    cols = "listing_id bigint, layout string, {}rent_hkd int, usable_area_sqft int, {}price_per_sqft double"
+    listings = spark.createDataFrame([(1, "1房", 9000, 300, 30.0), (2, "2房", None, 400, None)], cols.format("last_", "last_"))
+    current = spark.createDataFrame([(1, "1房", 9500, 300, 31.7), (2, "2房", 14000, 400, 35.0), (3, "2房", None, 400, None)], cols.format("", ""))
+    assert [r.rent_hkd for r in R.rent_reference(listings, current).collect()] == [9000]
+    assert sorted(r.rent_hkd for r in R.rent_reference(listings.where("listing_id = 2"), current).collect()) == [9500, 14000]
+    assert R.rent_reference(listings.limit(0), current.limit(0)).count() == 0
+
+
 def test_stale_watchlist_literal(spark):
     row = [(7, 11800, 38.0, "3房", datetime(2025, 3, 3), 2)]
     df = spark.createDataFrame(row, "listing_id bigint, rent_hkd int, price_per_sqft double, layout string, first_seen_at timestamp, active_source_count bigint")
