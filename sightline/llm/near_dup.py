@@ -18,8 +18,8 @@ number of pairs grows with nodes, not with the square of a bucket.
 components of pairs at or above the threshold.
 
 A pair of similarity 0.8 shares no bucket with a probability of 3e-5. Defined results: a text without words and a null
-text are never duplicates; repeated rows are copies of one another; null doc_ids take part and rank last; an empty table
-gives no rows; other columns are not read.
+text are never duplicates; repeated rows are copies of one another; null and repeated doc_ids take part by row, and null ones
+rank last; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -185,17 +185,19 @@ def near_duplicates(
 ) -> DataFrame:
     """One row per document: row, doc_id, class_id (smallest doc_id of its class), class_size, kept (one row per class).
 
-    ``row`` is a number of the row: ``row_col`` if that is given, else one of the operator's own. The kept row of a class is one with its smallest doc_id; of equal rows one is kept.
+    ``row`` is a number of the row: ``row_col`` (no two rows alike) if that is given, else one of the operator's own, fixed by a
+    written copy of the ids and texts. The kept row of a class is one with its smallest doc_id; of equal rows one is kept.
     """
     source = numbered(docs, row_col, doc_id=id_col, text=text_col).withColumn("text", F.lower("text"))
+    if not row_col:
+        source = cut(source, "rows")
     signed = cut(signatures(source), "signatures")
-    nodes = signed.where("node is not null").groupBy("node").agg(F.min("checksum").alias("checksum"), F.min("doc_id").alias("doc_id"))
+    nodes = signed.where("node is not null").groupBy("node").agg(F.min(F.struct("checksum", "row")).alias("first")).select("node", "first.*")
     buckets = signed.where("node is not null").select("node", F.explode("bands").alias("bucket")).distinct()
     shared = buckets.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     buckets = cut(buckets.join(shared.select("bucket"), "bucket", "left_semi"), "buckets")
-    wanted = buckets.select("node").distinct().join(nodes, "node").select("node", F.col("doc_id").alias("id"))
-    texts = cut(source.join(wanted, F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "text"), "texts")
-    texts = texts.where("text is not null").dropDuplicates(["node"])
+    wanted = buckets.select("node").distinct().join(nodes, "node").select("node", "row")
+    texts = cut(source.select("row", "text").join(wanted, "row").select("node", "text"), "texts")
     links, classes = None, None
     for turn in range(1, ROUNDS + 1):
         pairs = cut(candidates(buckets, classes, links, turn), "pairs")
@@ -208,7 +210,7 @@ def near_duplicates(
 
 
 def _classed(signed: DataFrame, nodes: DataFrame, classes: DataFrame | None) -> DataFrame:
-    nodes = nodes.withColumnRenamed("checksum", "same").drop("doc_id")
+    nodes = nodes.withColumnRenamed("checksum", "same").drop("row")
     if classes is None:
         nodes = nodes.withColumn("class", F.col("node"))
     else:

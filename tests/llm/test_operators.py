@@ -115,6 +115,21 @@ def test_near_duplicates_against_brute_force(spark):
     assert all(got[i].class_size == sizes[find(i)] and got[i].kept == (find(i) == i) for i in got)
 
 
+@pytest.mark.parametrize("row_col", [None, "place"])
+def test_near_duplicates_with_null_and_repeated_ids(spark, row_col):
+    from sightline.llm.near_dup import near_duplicates
+
+    texts = [t for family in range(12) for t in (prose(family, 120), prose(family, 120) + f" end{family}")]
+    ids = [None] * 8 + [7] * 8 + [None, 7, 30, None, 7, 31, 32, 33]
+    docs = spark.createDataFrame(list(enumerate(zip(ids, texts, strict=True))), "place long, doc struct<doc_id long, text string>")
+    docs = docs.select("place", "doc.*").union(spark.createDataFrame([(90 + i, None, prose(50 + i, 90)) for i in range(9)], docs.select("place", "doc.*").schema))
+    got = near_duplicates(docs.repartition(3), row_col=row_col).collect()
+    sizes = Counter((r.class_size, r.kept) for r in got)
+    assert sizes == {(2, True): 12, (2, False): 12, (1, True): 9}
+    if row_col:
+        assert {r.row // 2 for r in got if r.class_size == 2 and r.kept} == set(range(12))
+
+
 def test_signature_slots_agree_as_often_as_the_weighted_jaccard(spark):
     from sightline.llm.near_dup import bag_minhash
 
