@@ -11,8 +11,13 @@ shingle; texts with an empty slot are carried on, until none has any.
 *Banding.* ``BANDS`` bands of ``ROWS`` slots. Documents with equal multisets are one node from here on. In each bucket of a
 band every node is tested against the smallest node of the bucket, each node first against the smallest of all these
 (round 1), then against the others in whose class it is not yet (round 2), then the classes that still meet in a
-bucket against each other by other orders of the nodes (rounds 3 and on, until a round finds no untested pair). So the
-number of pairs grows with nodes, not with the square of a bucket.
+bucket against each other by other orders of the nodes (rounds 3 to ``ROUNDS``). These rounds only save work; they leave
+pairs of different classes untested in buckets of three or more nodes, and ``remaining`` gives all of those that can reach
+the threshold: every pair of a bucket of at most ``SMALL`` nodes, and in larger ones every pair that a prefix filter cannot
+rule out. For the filter, a text's shingles are put in order, the rarest first; texts of that similarity share a shingle
+early in both orders, with enough of both texts left behind it. So a family of texts that share a template and differ in
+shingles of their own gives few pairs; one whose texts are mixtures of the same variants, with similarities a little below
+the threshold, gives up to the square of a bucket, as no bound on whole texts tells its pairs apart.
 
 *Verification.* The multiset overlap of every tested pair is computed from both whole texts. Classes are the connected
 components of pairs at or above the threshold.
@@ -28,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline.llm.common import numbered
@@ -40,6 +45,7 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 26, 5
 ROUNDS = 4
+SMALL = 16
 _TABLE = letter_table()
 
 
@@ -164,11 +170,7 @@ def candidates(buckets: DataFrame, classes: DataFrame | None, tested: DataFrame
     Without classes each node comes with one such node; with them, with all those of another class.
     """
     rank = F.xxhash64(F.col("node"), F.lit(turn)) if turn > 2 else F.col("node")
-    rows = buckets.withColumn("rank", rank)
-    if classes is not None:
-        rows = rows.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
-    else:
-        rows = rows.withColumn("class", F.col("node"))
+    rows = _with_class(buckets.withColumn("rank", rank), classes)
     mixed = rows.groupBy("bucket").agg(F.min("rank").alias("first"), F.min("class").alias("low"), F.max("class").alias("high"))
     mixed = mixed.where("low < high").select("bucket", "first")
     rows = cut(rows.join(mixed, "bucket"), "mixed")
@@ -176,8 +178,72 @@ def candidates(buckets: DataFrame, classes: DataFrame | None, tested: DataFrame
     pairs = rows.join(heads, "bucket").where("class <> class_b")
     if classes is None:
         return pairs.groupBy(F.col("node").alias("a")).agg(F.min("b").alias("b"))
-    pairs = pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-    return pairs.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    return _untested(pairs.select(F.col("node").alias("a"), "b"), tested)
+
+
+def _with_class(rows: DataFrame, classes: DataFrame | None) -> DataFrame:
+    if classes is None:
+        return rows.withColumn("class", F.col("node"))
+    return rows.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
+
+
+def _untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
+    low, high = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+    return pairs.select(low, high).distinct().join(tested.select(low, high), ["a", "b"], "left_anti")
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        node = batch.column("node").to_numpy()
+        for chunk in chunks(batch.column("text")):
+            text, code, weight = weighted(*shingles(chunk))
+            size = np.bincount(text, weight, chunk.n).astype(np.int64)
+            columns = [node[chunk.first + text], code.view(np.int64), weight, size[text]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["node", "code", "weight", "size"])
+
+
+def _overlapping(nodes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of nodes of different classes that a prefix filter cannot rule out. ``nodes``: node, class.
+
+    With sizes x >= y, an overlap of at least t (x + y) / (1 + t) needs a shingle among the first x - t x + 1 of the one and
+    the first y - 2 t y / (1 + t) + 1 of the other, and that many shingles from the first shared one on in both.
+    """
+    counts = cut(texts.join(nodes.select("node"), "node").mapInArrow(_counted, "node long, code long, weight long, size long"), "counts")
+    common = counts.groupBy("code").agg(F.count("*").alias("n")).where("n > 1")
+    ordered = Window.partitionBy("node").orderBy(F.coalesce("n", F.lit(1)), "code").rowsBetween(Window.unboundedPreceding, -1)
+    left = F.col("size") - F.coalesce(F.sum("weight").over(ordered), F.lit(0))
+    part, slack = 2 * threshold / (1 + threshold), 1e-6  # of rounding
+    first = counts.join(common, "code", "left").withColumn("left", left).where((F.col("n") > 1) & (F.col("left") >= threshold * F.col("size") - slack))
+    first = cut(first.join(nodes, "node").select("code", "class", "node", "size", "left"), "prefixes")
+    long_ = first.toDF("code", "class_a", "a", "size_a", "left_a")
+    short = first.where(F.col("left") >= part * F.col("size") - slack).toDF("code", "class_b", "b", "size_b", "left_b")
+    # members of one class never meet, however large it is
+    met = short.groupBy("code", "class_b").agg(F.min("size_b").alias("low")).join(
+        long_.groupBy("code", "class_a").agg(F.max("size_a").alias("high")), "code"
+    ).where("class_a <> class_b and low <= high").select("code", "class_a", "class_b")
+    pairs = met.join(short, ["code", "class_b"]).join(long_, ["code", "class_a"])
+    needed = part / 2 * (F.col("size_a") + F.col("size_b")) - slack
+    pairs = pairs.where((F.col("size_b") <= F.col("size_a")) & (F.least("left_a", "left_b") >= needed))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def remaining(buckets: DataFrame, classes: DataFrame, tested: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """All untested pairs (a, b) of different classes that share a bucket and can reach the threshold.
+
+    Buckets of two nodes have been tested by round 2.
+    """
+    rows = _with_class(buckets, classes)
+    mixed = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high"))
+    rows = cut(rows.join(mixed.where("low < high and n > 2").select("bucket", "n"), "bucket"), "remaining")
+    few, many = (rows.where(w).select("bucket", "class", "node") for w in (F.col("n") <= SMALL, F.col("n") > SMALL))
+    pairs = few.toDF("bucket", "class_a", "a").join(few.toDF("bucket", "class_b", "b"), "bucket").where("a < b and class_a <> class_b")
+    pairs = _untested(pairs.select("a", "b"), tested)
+    if many.isEmpty():
+        return pairs
+    shared = many.groupBy("node").agg(F.collect_list("bucket").alias("buckets"))
+    found = _overlapping(many.select("node", "class").distinct(), texts, threshold)
+    found = found.join(shared.toDF("a", "buckets_a"), "a").join(shared.toDF("b", "buckets_b"), "b").where(F.arrays_overlap("buckets_a", "buckets_b"))
+    return pairs.union(_untested(found.select("a", "b"), tested)).distinct()
 
 
 def near_duplicates(
@@ -206,6 +272,11 @@ def near_duplicates(
         found = verify(pairs, texts)
         links = cut(found if links is None else links.unionByName(found), "links")
         classes = components(links.where(F.col("similarity") >= threshold).select("a", "b"))
+    if links is not None:
+        pairs = cut(remaining(buckets, classes, links, texts, threshold), "pairs")
+        if not pairs.isEmpty():
+            links = cut(links.unionByName(verify(pairs, texts)), "links")
+            classes = components(links.where(F.col("similarity") >= threshold).select("a", "b"))
     return _classed(signed, nodes, classes)
 
 

@@ -115,6 +115,44 @@ def test_near_duplicates_against_brute_force(spark):
     assert all(got[i].class_size == sizes[find(i)] and got[i].kept == (find(i) == i) for i in got)
 
 
+def variants(m, planted, blocks=100, apart=16):
+    """m texts of similarity about 0.6, each a choice of one of two words in every block, and copies of some at about 0.85."""
+    rng = np.random.default_rng(8)
+    choice = rng.integers(0, 2, (m, blocks))
+    near = choice[:planted].copy()
+    for row in near:
+        row[rng.choice(blocks, apart, replace=False)] ^= 1
+    fixed = [prose(1000 + k, 9) for k in range(blocks)]
+    return [" ".join(f"{f} pick{k}x{v}" for k, (f, v) in enumerate(zip(fixed, row, strict=True))) for row in (*choice, *near)]
+
+
+def test_near_pairs_in_buckets_of_hundreds_of_less_similar_texts(spark):
+    from sightline.llm.near_dup import near_duplicates
+
+    m, planted = 400, 24
+    texts = variants(m, planted)
+    sets = [multiset(t) for t in texts]
+    assert all(similarity(sets[i], sets[m + i]) > 0.82 for i in range(planted))
+    assert all(0.5 < similarity(sets[i], sets[j]) < 0.75 for i in range(0, m, 16) for j in range(i))
+    got = near_duplicates(documents(spark, texts).repartition(4)).collect()
+    assert {r.doc_id: r.class_id for r in got} == {i: i % m if i >= m else i for i in range(m + planted)}
+
+
+def test_remaining_pairs_are_few_in_a_template_family(spark):
+    from sightline.llm.near_dup import remaining
+
+    m = 300
+    base, own = prose(1, 200), [prose(2000 + i, 66) for i in range(m)]
+    near = [" ".join(o.split()[:50]) + " " + prose(5000 + i, 16) for i, o in enumerate(own[:20])]  # rare words shared with one text only
+    texts = [f"{base} {o}" for o in own + near]
+    assert similarity(*map(multiset, (texts[0], texts[m]))) >= 0.8 > 0.65 > similarity(*map(multiset, texts[:2]))
+    rows = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    buckets = rows.select("node", F.lit(1).cast("long").alias("bucket"))
+    none = spark.createDataFrame([], "a long, b long, similarity double")
+    pairs = remaining(buckets, spark.createDataFrame([], "node long, class long"), none, rows, 0.8).collect()
+    assert {(i, m + i) for i in range(20)} <= set(map(tuple, pairs)) and len(pairs) < m
+
+
 @pytest.mark.parametrize("row_col", [None, "place"])
 def test_near_duplicates_with_null_and_repeated_ids(spark, row_col):
     from sightline.llm.near_dup import near_duplicates
