@@ -1,26 +1,28 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
+"""Toxicity by nearest labelled examples: exact TF-IDF cosine over an inverted index with score bounds.
 
-*Terms.* The words of a bounded sample of labelled documents (``SAMPLE`` documents, those with the smallest hash of the id)
-are tested for association with the label by the G statistic of their document counts. Terms beyond the
-critical value for all words tested (less than one word by chance), at most ``TERMS``, span the vectors; the others say nothing about the label.
-Inverse document frequencies of the terms are counted over all documents.
+*Terms.* All words of a bounded sample of labelled documents (``SAMPLE`` documents, those with the smallest hash of the id)
+span the vectors. Each is weighed by its inverse document frequency, counted over all documents, and by its association
+with the label: ((1 + G) / (1 + critical G)) squared, at most 1, where G is the statistic of its document counts in the sample
+and the critical value is that for all words tested (less than one word by chance). So no word is left out, and words that say
+little about the label weigh little.
 
-*Neighbours.* The sample is the index: per term a list of examples with their normalised weights, in blocks of ``BLOCK``
-examples with the largest weight of each block. A query visits blocks by falling upper bound and stops where a bound falls
-below its ``NEIGHBOURS``-th best cosine, so the neighbours are exact; ties go to the smaller doc_id.
+*Neighbours.* The sample is the index: per term a list of examples with their normalised weights and the largest of them. A
+query adds up lists by falling bound, until few examples can still reach its ``NEIGHBOURS``-th best cosine by the bounds
+that are left; these get their whole cosine, so the neighbours are exact. Ties go to the smaller doc_id.
 
 *Score.* Votes weigh 1 / (distance + ``SOFTEN``). The share of toxic weight is mapped to a probability by isotonic
-regression on leave-one-out votes of the examples. A text without any of the terms gets the rate of such texts in the sample.
+regression on leave-one-out votes of the examples. A text without any word of the sample gets the rate of such texts in the sample.
 Evidence are the ids of the three nearest examples.
 
 Only rows outside the held-out fold are learned from, and lang, source and ids are no inputs of a score. Defined results: null
-and empty texts have no terms; without labelled rows the score is 0.5 for all, and with labels but no informative term the
-base rate; a doc_id labelled several times counts as toxic if one label says so; repeated rows get equal results; an empty
+and empty texts have no terms; without labelled rows the score is 0.5 for all, and with labels of one kind about
+their rate; a doc_id labelled several times counts as toxic if one label says so; repeated rows get equal results; an empty
 table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -33,20 +35,23 @@ from sightline.llm.common import columns_of, fold_of
 from sightline.llm.tokens import U64, Chunk, chunks, letter_table, lookup, mix, words
 
 SAMPLE = 8192
-TERMS = 512
 NEIGHBOURS = 15
-BLOCK = 64
+FEW = 256
 SOFTEN = 0.05
 _TABLE = letter_table()
 
 
 class Index(NamedTuple):
     terms: np.ndarray  # sorted hashes
-    idf: np.ndarray
-    post_of: np.ndarray  # first posting of each (term, block), row by row
+    idf: np.ndarray  # times the weight by label
+    first: np.ndarray  # first posting of each term
     example: np.ndarray  # postings: example and weight
     weight: np.ndarray
-    block_max: np.ndarray  # term x block
+    most: np.ndarray  # largest weight of each term
+    own_first: np.ndarray  # first own term of each example
+    own_term: np.ndarray  # their terms and weights
+    own_weight: np.ndarray
+    query: np.ndarray  # room for the weights of a query, zero between queries
     label: np.ndarray
     ids: np.ndarray
     grid: tuple[np.ndarray, np.ndarray]  # calibration: vote and probability
@@ -62,45 +67,57 @@ def build_index(terms: np.ndarray, idf: np.ndarray, vectors: list[tuple[np.ndarr
     """``vectors``: (terms, tf) of every example, in order of id; those without terms only count for ``blank``."""
     some = np.array([len(t) > 0 for t, _ in vectors], bool)
     blank = float((label[~some].sum() + 0.5) / ((~some).sum() + 1)) if (~some).any() else 0.5 * float(label.mean() if len(label) else 1)
-    keep = [i for i in np.flatnonzero(some)]
-    keep.sort(key=lambda i: (int(vectors[i][0][np.argmax(vector(*vectors[i], idf))]), ids[i]))  # alike in a block
-    blocks = max(1, -(-len(keep) // BLOCK))
-    block_max = np.zeros((len(terms), blocks))
-    key, example, weight = [], [], []
-    for at, i in enumerate(keep):
-        own = vectors[i][0]
-        w = vector(*vectors[i], idf)
-        np.maximum.at(block_max, (own, at // BLOCK), w)
-        key.append(own * blocks + at // BLOCK)
-        example.append(np.full(len(own), at))
-        weight.append(w)
-    key, example, weight = (np.concatenate(x) if x else np.zeros(0, int) for x in (key, example, weight))
-    order = np.argsort(key, kind="stable")
-    post_of = np.searchsorted(key[order], np.arange(len(terms) * blocks + 1))
-    index = Index(terms, idf, post_of, example[order], weight[order], block_max, label[keep], ids[keep], (np.zeros(1), np.zeros(1)), blank)
+    keep = [int(i) for i in np.flatnonzero(some)]
+    own = [vectors[i][0] for i in keep]
+    own_first = np.cumsum([0, *map(len, own)])
+    own_term = np.concatenate(own) if own else np.zeros(0, int)
+    own_weight = np.concatenate([vector(*vectors[i], idf) for i in keep]) if own else np.zeros(0)
+    order = np.argsort(own_term, kind="stable")
+    first = np.searchsorted(own_term[order], np.arange(len(terms) + 1))
+    example = np.repeat(np.arange(len(keep), dtype=np.int32), np.diff(own_first))[order]
+    most = np.zeros(len(terms))
+    np.maximum.at(most, own_term, own_weight)
+    index = Index(
+        terms, idf, first, example, own_weight[order], most, own_first, own_term.astype(np.int32), own_weight, np.zeros(len(terms)),
+        label[keep], ids[keep], (np.zeros(1), np.zeros(1)), blank,
+    )
     votes = np.array([vote(index, nearest(index, vectors[i][0], vector(*vectors[i], idf), skip=at)) for at, i in enumerate(keep)])
     return index._replace(grid=isotonic(votes, label[keep])) if len(keep) else index
 
 
 def nearest(index: Index, terms: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
     """(examples, cosines) of the exact k nearest with a cosine above 0, nearest first."""
-    blocks = index.block_max.shape[1]
-    upper = weight @ index.block_max[terms]
-    found, cosine, worst = np.zeros(0, int), np.zeros(0), 0.0
-    for b in np.argsort(-upper, kind="stable"):
-        if upper[b] <= 0 or (len(found) == k and upper[b] < worst - 1e-12):
+    bound = weight * index.most[terms]
+    order = np.argsort(-bound, kind="stable")
+    terms, weight, bound = terms[order], weight[order], bound[order]
+    rest = np.r_[np.cumsum(bound[::-1])[::-1], 0.0]
+    score, at, step = np.zeros(len(index.ids)), 0, 16
+    while True:
+        some = terms[at : at + step]
+        place, of = _ranges(index.first, some)
+        score += np.bincount(index.example[place], index.weight[place] * weight[at : at + step][of], len(score))
+        if skip >= 0:
+            score[skip] = -np.inf
+        at, step = min(at + step, len(terms)), 2 * step
+        worst = np.partition(score, -k)[-k] if len(score) >= k else 0.0
+        hit = np.flatnonzero(score >= max(worst, 0.0) - rest[at] - 1e-9) if rest[at] > 0 else np.flatnonzero((score > 0) & (score >= worst - 1e-9))
+        if at == len(terms) or len(hit) <= FEW:
             break
-        score = np.zeros(BLOCK)
-        for t, w in zip(terms, weight, strict=True):
-            a, z = index.post_of[t * blocks + b], index.post_of[t * blocks + b + 1]
-            score[index.example[a:z] - b * BLOCK] += w * index.weight[a:z]
-        hit = np.flatnonzero(score > 0)
-        hit = hit[hit + b * BLOCK != skip]
-        found, cosine = np.concatenate([found, hit + b * BLOCK]), np.concatenate([cosine, score[hit]])
-        order = np.lexsort((index.ids[found], -np.round(cosine, 12)))[:k]
-        found, cosine = found[order], cosine[order]
-        worst = cosine[-1] if len(cosine) else 0.0
-    return found, cosine
+    hit = hit[hit != skip]
+    place, of = _ranges(index.own_first, hit)
+    index.query[terms] = weight
+    cosine = np.bincount(of, index.query[index.own_term[place]] * index.own_weight[place], len(hit))
+    index.query[terms] = 0
+    hit, cosine = hit[cosine > 0], cosine[cosine > 0]
+    order = np.lexsort((index.ids[hit], -np.round(cosine, 12)))[:k]
+    return hit[order], cosine[order]
+
+
+def _ranges(first: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all entries of the rows of a table, and which of the rows each is of."""
+    sizes = first[rows + 1] - first[rows]
+    of = np.repeat(np.arange(len(rows)), sizes)
+    return np.arange(len(of)) + np.repeat(first[rows] - np.cumsum(sizes) + sizes, sizes), of
 
 
 def vote(index: Index, near: tuple[np.ndarray, np.ndarray]) -> float:
@@ -141,24 +158,21 @@ def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             )
 
 
-def informative_terms(examples: DataFrame) -> np.ndarray:
-    """Sorted hashes of the words whose document counts depend on the label beyond chance."""
+def weighted_terms(examples: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of all words of the examples, and their weights by how far their document counts depend on the label."""
     n, toxic = examples.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    if not 0 < toxic < n:
-        return np.zeros(0, U64)
     seen = examples.select("text", "toxic").mapInArrow(_distinct_words, "term long, toxic int")
-    seen = seen.groupBy("term").agg(F.sum("toxic").alias("b"), F.count("*").alias("d"))
-    a, b = F.col("d") - F.col("b"), F.col("b")
+    seen = seen.groupBy("term").agg(F.sum("toxic").alias("b"), F.count("*").alias("d")).toArrow()
+    terms = seen["term"].to_numpy().view(U64)
+    order = np.argsort(terms)
+    b, d = (seen[c].to_numpy().astype(float)[order] for c in ("b", "d"))
 
     def part(have, row, column):
-        return F.when(have > 0, have * F.log(have * F.lit(float(n)) / (row * column))).otherwise(F.lit(0.0))
+        return have * np.log(np.maximum(have, 1) * n / np.maximum(row * column, 1))
 
-    d, rest, clean = F.col("d"), F.lit(float(n)) - F.col("d"), F.lit(float(n - toxic))
-    g = 2 * (part(b, d, F.lit(float(toxic))) + part(a, d, clean) + part(F.lit(float(toxic)) - b, rest, F.lit(float(toxic))) + part(clean - a, rest, clean))
-    seen = seen.withColumn("g", g)
-    limit = 2 * np.log(max(seen.count(), 2))  # less than one word passes by chance
-    best = seen.where(F.col("g") >= float(limit)).orderBy(F.desc("g"), "term").limit(TERMS).select("term").toArrow()
-    return np.sort(best["term"].to_numpy().view(U64))
+    g = 2 * (part(b, d, toxic) + part(d - b, d, n - toxic) + part(toxic - b, n - d, toxic) + part(n - toxic - d + b, n - d, n - toxic))
+    limit = 2 * np.log(max(len(terms), 2))  # less than one word passes by chance
+    return terms[order], np.minimum((1 + np.maximum(g, 0)) / (1 + limit), 1) ** 2
 
 
 def _frequencies(terms: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -168,7 +182,9 @@ def _frequencies(terms: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iter
             n += batch.num_rows
             for chunk in chunks(batch.column("text")):
                 total += np.bincount(_term_counts(chunk, terms)[1], minlength=len(terms))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(terms))), pa.array(np.r_[n, total])], names=["at", "n"])
+        counts = np.r_[n, total]
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at - 1), pa.array(counts[at])], names=["at", "n"])
 
     return run
 
@@ -193,13 +209,15 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Index | N
     labels = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     picked = F.broadcast(labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
     examples = docs.join(picked, "doc_id").select("doc_id", F.lower("text").alias("text"), "toxic")
-    terms = informative_terms(examples)
+    terms, weight = weighted_terms(examples)
     rows = examples.mapInArrow(_example_vectors(terms), "doc_id long, toxic int, terms array<long>, counts array<long>").toArrow()
     if rows.num_rows == 0:
         return None
     counted = docs.select(F.lower("text").alias("text")).mapInArrow(_frequencies(terms), "at long, n long")
-    counted = dict(counted.groupBy("at").agg(F.sum("n")).collect())
-    idf = np.log((1 + counted[-1]) / (1 + np.array([counted[i] for i in range(len(terms))], float))) + 1
+    counted = counted.groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(len(terms) + 1)
+    counts[counted["at"].to_numpy() + 1] = counted["n"].to_numpy()
+    idf = (np.log((1 + counts[0]) / (1 + counts[1:])) + 1) * weight
     order = np.argsort(rows["doc_id"].to_numpy(), kind="stable")
     vectors = [(np.array(t, int), np.array(c, float)) for t, c in zip(rows["terms"].to_pylist(), rows["counts"].to_pylist(), strict=True)]
     return build_index(terms, idf, [vectors[i] for i in order], rows["toxic"].to_numpy()[order], rows["doc_id"].to_numpy()[order])
@@ -217,7 +235,7 @@ def _scored(index: Index) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
                     if a == b:
                         out.append((index.blank, []))
                         continue
-                    key = term[a:b].tobytes() + count[a:b].tobytes()
+                    key = hashlib.blake2b(term[a:b].tobytes() + count[a:b].tobytes(), digest_size=16).digest()
                     if key not in known:
                         if len(known) > 100_000:
                             known.clear()

@@ -313,6 +313,18 @@ def test_toxicity_held_out(spark):
     assert all(r.predicted == 0 for r in got if r.doc_id >= 900)
 
 
+def test_words_of_few_toxic_examples_are_found(spark):
+    from sightline.llm.toxicity import score_toxicity
+
+    texts = [prose(i, 60) + (f" vile slur{i // 18}" if i % 6 == 0 else "") for i in range(900)]
+    labels = spark.createDataFrame([(i, int(i % 6 == 0)) for i in range(900)], "doc_id long, toxic int")
+    docs = documents(spark, texts).unionByName(documents(spark, [f"slur{j} unseen{j}" for j in range(50)], 2000))
+    got = {r.doc_id: r for r in score_toxicity(docs, labels).collect()}
+    for j in range(50):
+        learned = {i for i in range(18 * j, 18 * j + 18, 6) if not got[i].held_out}
+        assert set(got[2000 + j].evidence) == learned and got[2000 + j].predicted == int(len(learned) > 0)
+
+
 def test_nearest_examples_are_exact(spark):
     from sightline.llm.toxicity import build_index, nearest, vector
 
