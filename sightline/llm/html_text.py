@@ -2,7 +2,9 @@
 
 Each page is read by a small tolerant scan into blocks of text and the elements around them (end tags that HTML implies are
 supplied, raw text elements skipped). Elements that are never article text are left out with all they hold: by tag
-(``DROPPED``) or by a word of class, id or role (``BOILERPLATE``). If the page marks its article (``article``, ``main``, role main),
+(``DROPPED``) or by a name in class, id or role whose words are all of ``BOILERPLATE`` and ``PLACES``, at least one of the former; so
+has-sidebar or entry-header name no such element. No name removes article or main, an element that holds one of them, or one that
+holds more than the share ``MOST`` of the page's text. If the page marks its article (``article``, ``main``, role main),
 only text within counts, else blocks that are mostly links go too.
 
 *Templates.* The subtree of every remaining block-level element is hashed (tag and texts). Spark counts per host on how many
@@ -47,6 +49,13 @@ BOILERPLATE = frozenset(
     " pagination pager header masthead footer comment comments commentlist respond reply replies disqus discussion share sharing social related"
     " recommended widget widgets toolbar login search copyright complementary contentinfo".split()
 )
+#: Words that may stand beside them in a name.
+PLACES = frozenset(
+    "area bar block body bottom box btn button buttons container content count form global group icon icons inner item items left link links list"
+    " page panel posts right row section site slot text title top unit wrap wrapper".split()
+)
+#: Share of a page's text beyond which a name does not remove an element.
+MOST = 2 / 3
 _KEPT = frozenset(("html", "body", "main"))
 _TAG = re.compile(r"<(?:!--.*?(?:--!?>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[!?/][^>]*>)", re.S)
 _NAMES = re.compile(r"""(?:^|[\s"'])(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
@@ -61,20 +70,27 @@ def host_of(url: str | None) -> str:
     return found[1].lower() if found else ""
 
 
-def _boilerplate(tag: str, attributes: str) -> bool:
-    if not attributes or tag in _KEPT:
+def _named(tag: str, attributes: str) -> bool:
+    """Whether a name marks the element as no part of the article."""
+    if not attributes or tag in _KEPT or tag == "article":
         return False
     for value in _NAMES.findall(attributes):
-        names = value.lower()
-        if any(w in BOILERPLATE for w in _WORD.findall(names)):
-            return True
-    return bool(_HIDDEN.search(attributes))
+        for name in value.lower().strip("\"'").split():
+            found = set(_WORD.findall(name))
+            if not found <= PLACES and found <= BOILERPLATE | PLACES:
+                return True
+    return False
+
+
+def _hidden(tag: str, attributes: str) -> bool:
+    return bool(attributes) and tag not in _KEPT and bool(_HIDDEN.search(attributes))
 
 
 class _Page:
     """Blocks of a page in order, and the block range of every element that holds any."""
 
-    def __init__(self, source: str) -> None:
+    def __init__(self, source: str, spared: frozenset[int] | None = frozenset()) -> None:
+        """``spared``: which of the named elements, by number, stay; all of them if it is None."""
         self.blocks: list[str] = []
         self.elements: list[tuple[str, int, int]] = []
         self._marked: list[bool] = []  # block within article or main
@@ -83,6 +99,11 @@ class _Page:
         self._linked = 0
         self._stack: list[tuple[str, int, bool]] = []  # tag, first block, dropped
         self._dropped = self._articles = self._anchors = 0
+        self._spared = spared
+        self._chars = self._mains = 0  # text and marked articles so far
+        self._open_names: list[tuple[int, int, int, int]] = []  # depth, number, text and marked articles before
+        self._names = 0
+        self.holds: list[tuple[int, int, int]] = []  # number, text and marked articles of each named element
         self._scan(source)
 
     def _flush(self) -> None:
@@ -98,11 +119,15 @@ class _Page:
     def _add(self, text: str) -> None:
         if text and not self._dropped:
             self._text.append(text)
+            self._chars += len("".join(text.split()))
             if self._anchors:
                 self._linked += len(text)
 
     def _pop(self) -> None:
         tag, first, dropped = self._stack.pop()
+        if self._open_names and self._open_names[-1][0] == len(self._stack):
+            _, number, chars, mains = self._open_names.pop()
+            self.holds.append((number, self._chars - chars, self._mains - mains))
         if tag not in INLINE:
             self._flush()
         self._dropped -= dropped
@@ -137,9 +162,15 @@ class _Page:
             self._flush()
         if tag in VOID:
             return
-        dropped = tag in DROPPED or tag == "header" and not self._articles or _boilerplate(tag, attributes)
+        dropped = tag in DROPPED or tag == "header" and not self._articles or _hidden(tag, attributes)
+        main = tag in ("article", "main") or bool(_MAIN.search(attributes))
+        if not dropped and _named(tag, attributes):
+            self._open_names.append((len(self._stack), self._names, self._chars, self._mains))
+            dropped = self._spared is not None and self._names not in self._spared and not main
+            self._names += 1
+        self._mains += main and not self._dropped
         self._dropped += dropped
-        if tag in ("article", "main") or _MAIN.search(attributes):
+        if main:
             self._articles += 1
             tag = tag if tag in ("article", "main") else "main!"
         elif tag == "a":
@@ -167,6 +198,7 @@ class _Page:
         while self._stack:
             self._pop()
         self._flush()
+        self.holding = self._chars
 
     def kept(self) -> list[bool]:
         if any(self._marked):
@@ -179,7 +211,10 @@ def _subtree(tag: str, blocks: list[str]) -> int:
 
 
 def _read(source: str | None) -> tuple[_Page, list[bool]]:
-    page = _Page(source or "")
+    page = _Page(source or "", None)
+    if page.holds:
+        least = MOST * page.holding
+        page = _Page(source or "", frozenset(n for n, chars, mains in page.holds if mains or chars > least))
     return page, page.kept()
 
 

@@ -490,6 +490,25 @@ def test_page_text_and_site_templates(spark):
     assert all(r.n_chars == len(r.text) for r in got.values())
 
 
+LAYOUTS = {
+    '<article class="post comments-open has-sidebar"><h1>Head</h1><p>Text</p></article>': "Head\nText",
+    '<div class="content no-sidebar"><p>Text</p></div>': "Text",
+    '<div id="page" class="layout-sidebar-right"><p>Text</p><div class="sidebar-right"><p>Side</p></div></div>': "Text",
+    '<h1 class="entry-header">Head</h1><p>Text</p><div class="cookie-notice">We use cookies</div>': "Head\nText",
+    '<div class="social"><article><p>Text</p><div class="share-buttons">Share</div></article><p>Out</p></div>': "Text",
+    '<div class="widget"><p>A long text of the page in its only element.</p><div id="comments">Nice</div></div><p>End</p>': "A long text of the page in its only element.\nEnd",
+    '<p>Some text of the page, long enough.</p><div class="banner"><p>Buy</p></div><p hidden>No</p><article class="ad" hidden>No</article>': "Some text of the page, long enough.",
+}
+
+
+def test_layout_names_keep_the_article(spark):
+    from sightline.llm.html_text import extract_text
+
+    rows = [(i, f"http://h{i}.example/", f"<html><body>{p}</body></html>") for i, p in enumerate(LAYOUTS)]
+    got = {r.page_id: r.text for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == dict(enumerate(LAYOUTS.values()))
+
+
 def test_given_pages_match_their_articles(spark, sf):
     from sightline.llm.html_text import extract_text
 
