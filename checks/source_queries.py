@@ -158,12 +158,19 @@ def _stream(t: Tables, df: DataFrame, name: str) -> DataFrame:
     return t.spark.readStream.schema(df.schema).parquet(landed_copy(df, name))
 
 
+def _ingested(t: Tables, *files: DataFrame) -> DataFrame:
+    """Log after files that land one after the other."""
+    out, late, checkpoint = jobs.folders(t.spark, "ingest")
+    path = new_path(t.spark, "obs")
+    for file in files:
+        file.write.mode("append").parquet(path)
+        stream = t.spark.readStream.schema(t.obs.schema).parquet(path)
+        jobs.ingest(stream, Filters(min_rent=6000, max_area=800), ["estate1", "near view"], out, late, checkpoint).awaitTermination()
+    return t.spark.read.schema(t.obs.schema).parquet(f"{out}/batch=*")
+
+
 def _ingest(t: Tables) -> DataFrame:
-    out, _, checkpoint = jobs.folders(t.spark, "ingest")
-    kept = jobs.ingest(_stream(t, t.obs, "obs"), Filters(min_rent=6000, max_area=800), ["estate1", "near view"])
-    rows = kept.select("source_key", "run_id")
-    jobs.write_stream(rows, out, checkpoint).awaitTermination()
-    return t.spark.read.schema(rows.schema).parquet(out)
+    return _ingested(t, t.obs).select("source_key", "run_id")
 
 
 register("l1_stream_ingest", _ingest,
@@ -171,6 +178,12 @@ register("l1_stream_ingest", _ingest,
             OR estate_name LIKE 'estate1%')""")
 
 
+_WHOLE = ["obs_id", "run_id", "source_key", "listing_id", "estate_name", "rent_hkd", "usable_area_sqft"]
+register("l1_stream_ingest_late", lambda t: _ingested(t, t.obs.where("listing_id % 5 <> 0 OR run_id > 20"), t.obs.where("listing_id % 5 = 0 AND run_id <= 20")).select(*_WHOLE),
+         f"""SELECT {", ".join(_WHOLE)} FROM obs WHERE coalesce(rent_hkd >= 6000, true) AND usable_area_sqft <= 800 AND (contains(replace(coalesce(title, ''), ' ', ''), 'nearview')
+            OR estate_name LIKE 'estate1%') QUALIFY row_number() OVER (PARTITION BY source_key, run_id ORDER BY obs_id) = 1""")
+
+
 def _decreases(t: Tables) -> DataFrame:
     out, state, checkpoint = jobs.folders(t.spark, "rents")
     jobs.rent_decrease_stream(_stream(t, t.obs.coalesce(1), "obs"), out, state, checkpoint).awaitTermination()

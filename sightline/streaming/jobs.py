@@ -23,14 +23,34 @@ last_run_id int"""
 RENTS = "listing_id bigint, rent int"
 
 
-def ingest(observations: DataFrame, filters: Filters, terms: list[str], delay: str = "2 days") -> DataFrame:
-    """Filtered stream with one row per source record and run."""
-    kept = filter_observations(observations, filters, terms)
-    return kept.withWatermark("seen_at", delay).dropDuplicatesWithinWatermark(["source_key", "run_id"])
+def ingest(
+    observations: DataFrame, filters: Filters, terms: list[str], out: str, late: str, checkpoint: str, delay: str = "2 days"
+) -> StreamingQuery:
+    """Log of filtered rows with one row per source record and run, whenever it arrives.
 
+    Of the rows of a batch that with the smallest obs_id is taken, and a row that an earlier batch has written stays. Rows that
+    lie more than ``delay`` behind the latest row of earlier batches are written to ``late`` as well, for ``rebuild_late``.
+    """
 
-def write_stream(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    return stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def step(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        kept = filter_observations(batch, filters, terms)
+        row = F.min_by(F.struct(*kept.columns), "obs_id").alias("row")
+        rows = kept.groupBy("source_key", "run_id").agg(row).select("row.*")
+        if batch_id:
+            log = spark.read.schema(kept.schema.add("batch", "long")).parquet(out).where(F.col("batch") < batch_id)
+            keys = log.select(F.col("source_key").alias("_key"), F.col("run_id").alias("_run")).distinct()
+            same = F.col("source_key").eqNullSafe(F.col("_key")) & F.col("run_id").eqNullSafe(F.col("_run"))
+            rows = rows.join(keys, same, "left_anti")
+            bound = log.agg((F.max("seen_at") - F.expr(f"INTERVAL {delay}")).alias("_bound"))
+        else:
+            bound = spark.range(1).select(F.lit(None).cast("timestamp").alias("_bound"))
+        rows.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        new = spark.read.schema(rows.schema).parquet(f"{out}/batch={batch_id}")
+        behind = new.join(F.broadcast(bound), F.col("seen_at") < F.col("_bound")).drop("_bound")
+        behind.write.mode("overwrite").parquet(f"{late}/batch={batch_id}")
+
+    return _each(observations, step, checkpoint)
 
 
 def _version(spark: SparkSession, folder: str, batch_id: int, schema: str) -> DataFrame:

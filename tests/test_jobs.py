@@ -56,6 +56,31 @@ def test_repeated_batch_gives_the_same_state(spark, tables):
     assert spark.read.parquet(f"{out}/batch=*").count() == first
 
 
+def test_ingest_keeps_late_rows(spark, tables):
+    from sightline.operators.filters import Filters
+
+    out, late, checkpoint = jobs.folders(spark, "ingest")
+    early, behind = tables.obs.where("listing_id % 5 > 0 or run_id > 20"), tables.obs.where("listing_id % 5 = 0 and run_id <= 20")
+    path = new_path(spark, "obs")
+    for file in (early.unionByName(early), behind.unionByName(early.where("run_id = 3"))):
+        file.repartition(3).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(tables.obs.schema).parquet(path)
+        jobs.ingest(stream, Filters(), [], out, late, checkpoint).awaitTermination()
+    first = {}
+    for r in sorted(tables.obs.collect(), key=lambda r: r.obs_id):
+        first.setdefault((r.source_key, r.run_id), r)
+    log = spark.read.schema(tables.obs.schema).parquet(f"{out}/batch=*").collect()
+    assert sorted(log, key=lambda r: r.obs_id) == sorted(first.values(), key=lambda r: r.obs_id)
+    got = {r.obs_id for r in spark.read.schema(tables.obs.schema).parquet(f"{late}/batch=*").collect()}
+    last = max(r.seen_at for r in early.collect())
+    assert got == {r.obs_id for r in first.values() if r.listing_id % 5 == 0 and r.run_id <= 20 and (last - r.seen_at).days > 2} and got
+
+
+@pytest.mark.parametrize("name", ["l1_stream_ingest", "l1_stream_ingest_late"])
+def test_ingest_oracle(spark, name):
+    test_oracle(spark, name)
+
+
 def test_log_partitions_are_pruned(spark, tables):
     from sightline.sources.landed import read_log
 
