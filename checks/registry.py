@@ -23,4 +23,4 @@ def at_date(oracle: str, day: date) -> str:
 def register(name: str, build: Callable[[Tables], DataFrame], oracle: str | None = None) -> None:
     QUERIES[name] = lambda spark, sf_dir: flat(build(Tables(spark, sf_dir)))
     if oracle is not None:
-        ORACLES[name] = oracle if oracle.startswith("WITH obs AS") else sql(oracle)
+        ORACLES[name] = oracle if oracle.startswith("WITH ") else sql(oracle)

@@ -27,7 +27,7 @@ def clean_observations(df: DataFrame) -> DataFrame:
     columns cannot pass. Empty texts become null.
     """
     have = [F.col(c).cast(t).alias(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in OBSERVATION.items()]
-    extra = [c for c in ("page_id", "run_id", "fetched_at", "updated_at_text", "tags") if c in df.columns]
+    extra = [c for c in ("page_id", "page", "pos", "run_id", "fetched_at", "updated_at_text", "tags") if c in df.columns]
     out = df.select(*extra, *have)
     return out.withColumns(
         {f: T.known(T.normalize_loose(F.col(f))) for f in LOOSE_FIELDS}
@@ -110,21 +110,23 @@ def _fallback_texts(pages: DataFrame) -> DataFrame:
     )
 
 
-def page_observations(pages: DataFrame, terms: list[str]) -> DataFrame:
+def page_observations(pages: DataFrame, terms: list[str], places: bool = False) -> DataFrame:
     """Observations of whole pages: anchors, else text around rents or bookmarks, then JSON; first of a source key wins.
 
-    Parsed rows, not pages, are shuffled by page.
+    A page is one landed page of a run, where pages have one. Parsed rows, not pages, are shuffled by page. With ``places`` the
+    rows keep ``strategy`` and ``pos``, their order within the page.
     """
     link = F.struct(F.lit(0).alias("s"), F.col("pos").alias("i"))
     anchors = page_links(pages).select(*_page_columns(pages), F.col("href").alias("source_url"), link.alias("pos"), "text")
     tagged = [df.withColumn("strategy", F.lit(n)) for n, df in enumerate([anchors, _fallback_texts(pages), script_texts(pages)])]
     parsed = parse_cards(tagged[0].unionByName(tagged[1]).unionByName(tagged[2]), terms)
-    by_page = Window.partitionBy("page_id")
+    page = [c for c in ("run_id", "page_id") if c in pages.columns]
+    by_page = Window.partitionBy(*page)
     kept = parsed.withColumn("_first", F.min("strategy").over(by_page)).where(
         (F.col("strategy") != 1) | (F.col("_first") != 0)
     )
-    by_key = Window.partitionBy("page_id", "source_key").orderBy("strategy", "pos")
-    return kept.withColumn("_rn", F.row_number().over(by_key)).where("_rn = 1").drop("_rn", "_first", "pos")
+    by_key = Window.partitionBy(*page, "source_key").orderBy("strategy", "pos")
+    return kept.withColumn("_rn", F.row_number().over(by_key)).where("_rn = 1").drop("_rn", "_first", *([] if places else ["pos"]))
 
 
 # Items of the three JSON source families. Scalars are read as strings, so that

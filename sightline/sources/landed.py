@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.operators import extraction as E
+from sightline.operators import ledger as G
 from sightline.session import lookup_join
 
+#: One fetched page as it landed: ``body`` is the response as it came, ``error`` says why there is none.
+LANDED = "run_id int, source_site string, family string, page bigint, source_url string, error string, body string"
+RESULT, DATA, STATE, HTML = "result", "data", "state", "html"
+_BROKEN = "_corrupt_record"
 PAGE = "page_id bigint, run_id int, source_site string, source_url string, html string"
 
 
@@ -35,8 +40,17 @@ def scan_html(pages: DataFrame, terms: list[str]) -> DataFrame:
 
 
 def _paged(spark: SparkSession, path: str, item: str, rows: str) -> DataFrame:
-    schema = f"run_id int, source_site string, page int, count bigint, {rows} array<struct<{_struct(item)}>>"
-    return spark.read.schema(schema).json(path).withColumnRenamed(rows, "items")
+    schema = f"run_id int, source_site string, page int, {_PAGED.format(rows=rows, item=_struct(item))}, {_BROKEN} string"
+    pages = spark.read.schema(schema).json(path).withColumnRenamed(rows, "items")
+    return pages.withColumn("problem", _problem(F.col(_BROKEN), F.col("items"))).drop(_BROKEN)
+
+
+_PAGED = "count bigint, {rows} array<struct<{item}>>"
+
+
+def _problem(broken: Column, rows: Column) -> Column:
+    """What is wrong with a parsed page: text that is no JSON or does not fit, or no list of rows."""
+    return F.when(broken.isNotNull(), F.lit(G.UNREADABLE)).when(rows.isNull(), F.lit(G.NO_LIST))
 
 
 def _struct(ddl: str) -> str:
@@ -77,6 +91,69 @@ def state_items(pages: DataFrame) -> DataFrame:
     return numbered.select("run_id", "_rec.*")
 
 
+def read_landing(spark: SparkSession, path: str) -> DataFrame:
+    """Landed pages of all sources, as rows of ``LANDED``; a folder per run prunes the others."""
+    return spark.read.schema(LANDED).parquet(path)
+
+
+def _bodies(landing: DataFrame, family: str) -> DataFrame:
+    return landing.where(F.col("family") == family)
+
+
+def _fetched(problem: Column) -> Column:
+    missing = F.col("error").isNotNull() | F.col("body").isNull()
+    return F.when(missing, F.lit(G.NOT_FETCHED)).otherwise(problem)
+
+
+def landed_pages(landing: DataFrame, family: str) -> DataFrame:
+    """Pages of one of the paged families: items (null if broken), the totals that the source declares, and the problem."""
+    fields = {
+        RESULT: (E.FAMILY_1, "count bigint, result array<struct<{item}>>"),
+        DATA: (E.FAMILY_3, "count bigint, data array<struct<{item}>>"),
+        STATE: (E.FAMILY_2, "POSTS array<struct<{item}>>, POSTSNUMPAGES bigint, POSTSTOTAL bigint"),
+    }
+    item, ddl = fields[family]
+    body = E.state_json(F.col("body")) if family == STATE else F.col("body")
+    rows = "POSTS" if family == STATE else family
+    parsed = F.from_json(body, f"{ddl.format(item=_struct(item))}, {_BROKEN} string", {"columnNameOfCorruptRecord": _BROKEN})
+    pages = _bodies(landing, family).withColumn("_page", parsed)
+    items = F.col(f"_page.{rows}")
+    problem = _problem(F.col(f"_page.{_BROKEN}"), items)
+    if family == STATE:
+        problem = F.coalesce(problem, F.when(F.size(items) == 0, F.lit(G.NO_ROWS)))
+    declared = F.col("_page.POSTSNUMPAGES") if family == STATE else F.lit(None).cast("bigint")
+    total = F.lit(None).cast("bigint") if family == STATE else F.col("_page.count")
+    return pages.select(
+        "run_id", "source_site", "page", "source_url", items.alias("items"), total.alias("declared_rows"),
+        declared.alias("declared_pages"), _fetched(problem).alias("problem"),
+    )
+
+
+def html_pages(landing: DataFrame) -> DataFrame:
+    """HTML pages as ``page_observations`` reads them, with the problem of pages that were not fetched."""
+    return _bodies(landing, HTML).select(
+        F.col("page").alias("page_id"), "run_id", "source_site", "source_url", F.col("body").alias("html"),
+        _fetched(F.lit(None).cast("string")).alias("problem"),
+    )
+
+
+def facts(landing: DataFrame, page_size: int) -> DataFrame:
+    """Page facts (``ledger.FACTS``) of all landed pages."""
+    none = F.lit(None).cast("bigint")
+    out = html_pages(landing).select("run_id", "source_site", F.col("page_id").alias("page"), none.alias("rows"), none.alias("declared_rows"),
+                                     F.lit(page_size).alias("page_size"), none.alias("declared_pages"), "problem")
+    for family in (RESULT, DATA, STATE):
+        pages = landed_pages(landing, family)
+        out = out.unionByName(pages.select("run_id", "source_site", "page", F.size("items").cast("bigint").alias("rows"), "declared_rows",
+                                           F.lit(page_size).alias("page_size"), "declared_pages", "problem"))
+    return out
+
+
+def landed_items(pages: DataFrame) -> DataFrame:
+    """Items of the pages with their place."""
+    return pages.select("run_id", "source_site", "page", F.posexplode("items").alias("pos", "item"))
+
+
 def read_log(spark: SparkSession, path: str, first: date | None = None, last: date | None = None) -> DataFrame:
     """Observation log; the date bounds prune partitions."""
     log = spark.read.parquet(path)
