@@ -11,8 +11,11 @@ shingle; texts with an empty slot are carried on, until none has any.
 *Banding.* ``BANDS`` bands of ``ROWS`` slots. Documents with equal multisets are one node from here on. In each bucket of a
 band every node is tested against the smallest node of the bucket, each node first against the smallest of all these
 (round 1), then against the others in whose class it is not yet (round 2), then the classes that still meet in a
-bucket against each other by other orders of the nodes (rounds 3 to ``ROUNDS``). These rounds only save work; they leave
-pairs of different classes untested in buckets of three or more nodes, and ``remaining`` gives all of those that can reach
+bucket against each other by another order of the nodes (rounds 3 to ``ROUNDS``). Nodes that still meet another class in a
+bucket of three or more get signatures of other slots, in ``DEEP_BANDS`` bands of ``DEEP_ROWS``, which split the large buckets into parts
+of more alike texts: there every node is tested against the first of its part, and all pairs of a part of at most ``SMALL``
+nodes, ``DEEP_ROUNDS`` times with slots of their own. All these rounds only save work, by joining classes early; they leave
+pairs of different classes untested, and ``remaining`` gives all of those that can reach
 the threshold: every pair of a bucket of at most ``SMALL`` nodes, and in larger ones every pair that a prefix filter cannot
 rule out. For the filter, a text's shingles are put in order, the rarest first; texts of that similarity share a shingle
 early in both orders, with enough of both texts left behind it. So a family of texts that share a template and differ in
@@ -29,7 +32,7 @@ rank last; an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +47,8 @@ from sightline.session import cut
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 26, 5
-ROUNDS = 4
+ROUNDS = 3
+DEEP_BANDS, DEEP_ROWS, DEEP_ROUNDS = 32, 8, 3
 SMALL = 16
 _TABLE = letter_table()
 
@@ -112,29 +116,46 @@ def bag_minhash(text: np.ndarray, code: np.ndarray, weight: np.ndarray, n: int,
         live = np.flatnonzero(open_[of])
 
 
+def _banded(text: np.ndarray, code: np.ndarray, weight: np.ndarray, n: int, bands: int, rows: int) -> pa.ListArray:
+    """Hashes of the bands of ``rows`` slots of each text."""
+    times = bag_minhash(text, code, weight, n, bands * rows)
+    value = mix(times.view(U64).reshape(n, bands, rows) + np.arange(rows, dtype=U64))
+    found = mix(np.bitwise_xor.reduce(value, axis=2) + mix(np.arange(bands, dtype=U64)))
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands), pa.array(found.reshape(-1).view(np.int64)))
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for chunk in chunks(batch.column("text")):
             text, code, weight = weighted(*shingles(chunk))
-            times = bag_minhash(text, code, weight, chunk.n, BANDS * ROWS)
-            value = mix(times.view(U64).reshape(chunk.n, BANDS, ROWS) + np.arange(ROWS, dtype=U64))
-            bands = mix(np.bitwise_xor.reduce(value, axis=2) + mix(np.arange(BANDS, dtype=U64)))
             node, check = np.zeros(chunk.n, U64), np.zeros(chunk.n, U64)
             np.add.at(node, text, mix(code * U64(3) + weight.astype(U64)))
             np.add.at(check, text, mix(code * U64(5) + weight.astype(U64)))
             some = np.bincount(text, minlength=chunk.n) > 0
-            flat = pa.array(bands.reshape(-1).view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [
                     *(batch.column(c).slice(chunk.first, chunk.n) for c in ("row", "doc_id")),
                     pa.array(mix(node).view(np.int64), mask=~some),
                     pa.array(mix(check).view(np.int64), mask=~some),
-                    pa.ListArray.from_arrays(pa.array(np.arange(chunk.n + 1, dtype=np.int32) * BANDS), flat),
+                    _banded(text, code, weight, chunk.n, BANDS, ROWS),
                 ],
                 names=["row", "doc_id", "node", "checksum", "bands"],
             )
 
 
+def _deep_signatures(turn: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Bands of slots that are independent of the first ones and of those of other turns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk in chunks(batch.column("text")):
+                text, code, weight = weighted(*shingles(chunk))
+                bands = _banded(text, mix(code + mix(np.full(1, turn, U64))), weight, chunk.n, DEEP_BANDS, DEEP_ROWS)
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(chunk.first, chunk.n), bands], names=["node", "bands"])
+
+    return run
+
+
 def signatures(docs: DataFrame) -> DataFrame:
     """row, doc_id, node (hash of the shingle multiset; null without words), checksum (a second hash) and band hashes."""
     return docs.mapInArrow(_signatures, "row long, doc_id long, node long, checksum long, bands array<long>")
@@ -192,6 +213,33 @@ def _untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
     return pairs.select(low, high).distinct().join(tested.select(low, high), ["a", "b"], "left_anti")
 
 
+def _mixed(buckets: DataFrame, classes: DataFrame | None) -> DataFrame:
+    """bucket, n, node, class of the buckets of three or more nodes in which classes meet; those of two have been tested."""
+    rows = _with_class(buckets, classes)
+    mixed = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high"))
+    return cut(rows.join(mixed.where("low < high and n > 2").select("bucket", "n"), "bucket"), "mixed")
+
+
+def _pairs_of_small(rows: DataFrame) -> DataFrame:
+    """All pairs (a, b) of nodes of different classes in buckets of at most SMALL nodes."""
+    few = rows.where(F.col("n") <= SMALL)
+    left = few.select("bucket", F.col("class").alias("class_a"), F.col("node").alias("a"))
+    right = few.select("bucket", F.col("class").alias("class_b"), F.col("node").alias("b"))
+    return left.join(right, "bucket").where("a < b and class_a <> class_b").select("a", "b")
+
+
+def deeper(buckets: DataFrame, classes: DataFrame, tested: DataFrame, texts: DataFrame, turn: int) -> DataFrame:
+    """Untested pairs in the parts of the mixed buckets' nodes by longer bands: each node with the first, and all pairs of small parts."""
+    nodes = _mixed(buckets, classes).select("node").distinct()
+    signed = texts.join(nodes, "node").mapInArrow(_deep_signatures(turn), "node long, bands array<long>")
+    rows = _with_class(cut(signed.select("node", F.explode("bands").alias("bucket")), "deep"), classes)
+    first = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("rank"), "node", "class")).alias("first")
+    parts = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high"), first)
+    rows = cut(rows.join(parts.where("low < high").select("bucket", "n", "first"), "bucket"), "parts")
+    heads = rows.where("class <> first.class").select(F.col("node").alias("a"), F.col("first.node").alias("b"))
+    return _untested(heads.unionByName(_pairs_of_small(rows)), tested)
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         node = batch.column("node").to_numpy()
@@ -232,12 +280,9 @@ def remaining(buckets: DataFrame, classes: DataFrame, tested: DataFrame, texts:
 
     Buckets of two nodes have been tested by round 2.
     """
-    rows = _with_class(buckets, classes)
-    mixed = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high"))
-    rows = cut(rows.join(mixed.where("low < high and n > 2").select("bucket", "n"), "bucket"), "remaining")
-    few, many = (rows.where(w).select("bucket", "class", "node") for w in (F.col("n") <= SMALL, F.col("n") > SMALL))
-    pairs = few.toDF("bucket", "class_a", "a").join(few.toDF("bucket", "class_b", "b"), "bucket").where("a < b and class_a <> class_b")
-    pairs = _untested(pairs.select("a", "b"), tested)
+    rows = _mixed(buckets, classes)
+    many = rows.where(F.col("n") > SMALL).select("bucket", "class", "node")
+    pairs = _untested(_pairs_of_small(rows), tested)
     if many.isEmpty():
         return pairs
     shared = many.groupBy("node").agg(F.collect_list("bucket").alias("buckets"))
@@ -272,6 +317,13 @@ def near_duplicates(
         found = verify(pairs, texts)
         links = cut(found if links is None else links.unionByName(found), "links")
         classes = components(links.where(F.col("similarity") >= threshold).select("a", "b"))
+    else:
+        for turn in range(1, DEEP_ROUNDS + 1):
+            pairs = cut(deeper(buckets, classes, links, texts, turn), "pairs")
+            if pairs.isEmpty():
+                break
+            links = cut(links.unionByName(verify(pairs, texts)), "links")
+            classes = components(links.where(F.col("similarity") >= threshold).select("a", "b"))
     if links is not None:
         pairs = cut(remaining(buckets, classes, links, texts, threshold), "pairs")
         if not pairs.isEmpty():
