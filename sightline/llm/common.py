@@ -43,3 +43,12 @@ def numbered(df: DataFrame, row_col: str | None, **wanted: str) -> DataFrame:
     small_batches(df.sparkSession)
     row = F.col(f"`{row_col}`") if row_col else F.monotonically_increasing_id()
     return df.select(row.alias("row"), *(F.col(f"`{have}`").alias(name) for name, have in wanted.items()))
+
+
+def vocabulary_file(name: str) -> str:
+    """Place of a file of the public tokenizers package; ``name`` may be a path of one's own."""
+    if "/" in name:
+        return name
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

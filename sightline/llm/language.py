@@ -4,11 +4,12 @@ Every language has a probability for each piece of a fixed public vocabulary. Th
 segmentations into pieces of the product of their probabilities, computed by the forward algorithm over its bytes; the
 vocabulary has a piece for each single byte, so every word has one. The probabilities are fitted by expectation
 maximisation (forward-backward over the same lattices) to the word counts of a bounded sample of labelled documents:
-``SAMPLE`` documents a language, those with the smallest hash of the id, and of these the ``WORDS`` most frequent words.
+``SAMPLE`` documents a language, those with the smallest hash of the id, and of these the ``WORDS`` most frequent words. Every
+language of a labelled document can be predicted.
 The vocabulary itself is only read, never trained.
 
-Texts are scored whole. Words are runs of ASCII letters (lower-cased) and other non-ASCII characters; a run of more than
-``LONGEST`` bytes is scored in pieces of that length. A text's score for a language is the sum over its words; each
+Texts are learned and scored whole. Words are runs of ASCII letters (lower-cased) and other non-ASCII characters; a run of more than
+``LONGEST`` bytes, as in languages without spaces, is learned and scored in parts of that length. A text's score for a language is the sum over its words; each
 distinct word of a task is scored once. ``score`` is the posterior of the predicted language under equal priors, with at most
 ``EVIDENCE`` words' worth of evidence, so that it stays below 1 on long texts.
 
@@ -20,16 +21,18 @@ empty table gives no rows; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sightline.llm.common import columns_of, fold_of, small_batches
-from sightline.llm.tokens import U64, chunks, letter_table, lookup, mix, words
+from sightline.llm.common import columns_of, fold_of, small_batches, vocabulary_file
+from sightline.llm.tokens import U64, Words, chunks, letter_table, lookup, mix, words
 
-VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+#: The vocabulary: 32,000 pieces with byte fallback, from the public tokenizers package; a path of one's own may be given instead.
+VOCABULARY = "piece_bpe_32k.model"
 SAMPLE = 400
 #: Parts of a language that are ranked on their own first.
 SALTS = 16
@@ -50,7 +53,7 @@ def vocabulary(path: str = VOCABULARY) -> list[bytes]:
     """Pieces as bytes, a leading word mark as one byte; every single byte is a piece."""
     import sentencepiece
 
-    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    model = sentencepiece.SentencePieceProcessor(model_file=vocabulary_file(path))
     pieces = {bytes([b]) for b in range(256)}
     for i in range(model.get_piece_size()):
         if model.is_control(i) or model.is_unknown(i) or model.is_byte(i):
@@ -171,21 +174,35 @@ class Scorer:
         return out
 
 
+class Parts(NamedTuple):
+    """Parts of at most ``LONGEST`` bytes of the words of a chunk: first byte, length, text, whether it opens the word, hash."""
+
+    start: np.ndarray
+    size: np.ndarray
+    text: np.ndarray
+    opens: np.ndarray
+    code: np.ndarray
+
+
+def word_parts(found: Words) -> Parts:
+    size = found.end - found.start
+    count = -(-size // LONGEST)
+    owner = np.repeat(np.arange(len(size)), count)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    start = found.start[owner] + place * LONGEST
+    code = np.where(place == 0, found.code[owner], mix(found.code[owner] + place.astype(U64)))
+    return Parts(start, np.minimum(found.end[owner] - start, LONGEST), found.text[owner], place == 0, code)
+
+
 def _scored(pieces: Pieces, prob: np.ndarray, langs: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(pieces, prob)
         names = np.array(langs, object)
         for batch in batches:
             for chunk in chunks(batch.column("text"), _CHUNK):
-                found = words(chunk, _TABLE)
-                size = found.end - found.start
-                parts = -(-size // LONGEST)
-                owner = np.repeat(np.arange(len(size)), parts)
-                place = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
-                start = found.start[owner] + place * LONGEST
-                code = np.where(place == 0, found.code[owner], mix(found.code[owner] + place.astype(U64)))
-                score = scorer.of(_TABLE[chunk.data], start, np.minimum(found.end[owner] - start, LONGEST), place == 0, code)
-                text = found.text[owner]
+                parts = word_parts(words(chunk, _TABLE))
+                score = scorer.of(_TABLE[chunk.data], parts.start, parts.size, parts.opens, parts.code)
+                text = parts.text
                 total = np.stack([np.bincount(text, score[:, k], chunk.n) for k in range(len(names))], axis=1)
                 n = np.bincount(text, minlength=chunk.n)
                 scaled = total * np.minimum(1.0, EVIDENCE / np.maximum(n, 1))[:, None]
@@ -203,18 +220,18 @@ def _scored(pieces: Pieces, prob: np.ndarray, langs: list[str]) -> Callable[[Ite
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Word counts of each text, long words left out."""
+    """Counts of the parts of words in each text; the part that opens a word has its mark in front."""
     for batch in batches:
         for chunk in chunks(batch.column("text")):
-            found = words(chunk, _TABLE)
+            parts = word_parts(words(chunk, _TABLE))
             body = _TABLE[chunk.data].tobytes()
-            code = mix(found.code + found.text.astype(U64))
-            _, first, count = np.unique(code, return_index=True, return_counts=True)
-            keep = (found.end - found.start)[first] <= LONGEST
-            first, count = first[keep], count[keep]
-            word = [body[a:b] for a, b in zip(found.start[first], found.end[first], strict=True)]
+            _, first, count = np.unique(mix(parts.code + parts.text.astype(U64)), return_index=True, return_counts=True)
+            word = [
+                b"\x01" * bool(opens) + body[a : a + n]
+                for a, n, opens in zip(parts.start[first], parts.size[first], parts.opens[first], strict=True)
+            ]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("lang").take(pa.array(chunk.first + found.text[first])), pa.array(word, pa.binary()), pa.array(count)],
+                [batch.column("lang").take(pa.array(chunk.first + parts.text[first])), pa.array(word, pa.binary()), pa.array(count)],
                 names=["lang", "word", "n"],
             )
 
@@ -236,7 +253,7 @@ def learn(labelled: DataFrame, path: str = VOCABULARY, sample: int = SAMPLE, n_w
     counted = texts.select("lang", F.lower("text").alias("text")).mapInArrow(_counted, "lang string, word binary, n long")
     counted = counted.groupBy("lang", "word").agg(F.sum("n").alias("n"))
     rows = _first(counted, n_words, F.desc("n"), F.col("word")).toArrow()
-    langs = sorted(set(rows["lang"].to_pylist()))
+    langs = sorted(r.lang for r in picked.select("lang").distinct().collect())  # one row per language
     pieces = Pieces(vocabulary(path))
     if not langs:
         return pieces, np.zeros((len(pieces.keys), 0)), langs
@@ -245,7 +262,7 @@ def learn(labelled: DataFrame, path: str = VOCABULARY, sample: int = SAMPLE, n_w
     count = np.zeros((len(raw), len(langs)))
     for lang, word, n in zip(*(rows[c].to_pylist() for c in ("lang", "word", "n")), strict=True):
         count[place[word], column[lang]] += n
-    return pieces, fit(pieces, [b"\x01" + w for w in raw], count), langs
+    return pieces, fit(pieces, raw, count) if raw else np.full(count.shape, 0.0) + 1 / len(pieces.keys), langs
 
 
 def predict(docs: DataFrame, model: tuple[Pieces, np.ndarray, list[str]], text_col: str = "text") -> DataFrame:
