@@ -3,9 +3,11 @@
 Each page is read by a small tolerant scan into blocks of text and the elements around them (end tags that HTML implies are
 supplied, raw text elements skipped). Elements that are never article text are left out with all they hold: by tag
 (``DROPPED``) or by a name in class, id or role whose words are all of ``BOILERPLATE`` and ``PLACES``, at least one of the former; so
-has-sidebar or entry-header name no such element. No name removes article or main, an element that holds one of them, or one that
-holds more than the share ``MOST`` of the page's text. If the page marks its article (``article``, ``main``, role main),
-only text within counts, else blocks that are mostly links go too.
+has-sidebar or entry-header name no such element. A name of ``COMMENTS`` always removes, whatever the element is and holds. Any other
+leaves article and main, and an element that holds all articles and mains of the page. A form, and an element with a name of ``LAYOUT`` alone, also
+stays if it holds all top headings and more than half of the text outside of links; of a form that stays, the controls
+go. Sidebars, notices and adverts get no such grace, however long they are. If the page marks its article (``article``,
+``main``, role main), only text within counts, else blocks that are mostly links go too.
 
 *Templates.* The subtree of every remaining block-level element is hashed (tag and texts). Spark counts per host on how many
 different pages each subtree occurs; pages with the same main text count once, so that copies of an article do not make it
@@ -15,15 +17,19 @@ if there are at most ``BROADCAST``, and joined by shuffle beyond that.
 
 Character references are decoded, white space inside a block becomes one space, blocks are trimmed and joined by a line feed
 in page order; nothing is cut or capped. Defined results: null html gives an empty text, null or broken URLs are one host;
-text outside of any element is a block; an unclosed element ends with its parent; repeated pages give equal results; an
-empty table gives no rows; other columns are not read.
+text outside of any element is a block; an unclosed element ends with its parent; a tag whose end or whose quoted value is
+missing takes the rest of the page, as in browsers; repeated pages give equal results; an
+empty table gives no rows; other columns are not read. A page takes time in proportion to its length.
 """
 
 from __future__ import annotations
 
 import html as references
 import re
-from collections.abc import Callable, Iterator
+from collections import Counter
+from collections.abc import Iterator
+from itertools import accumulate
+from typing import NamedTuple
 
 import pandas as pd
 import xxhash
@@ -38,7 +44,7 @@ SHARE = 0.5
 BROADCAST = 1_000_000
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe textarea title svg math xmp".split())
-DROPPED = RAW | frozenset("nav footer aside form dialog menu button select head object canvas audio video".split())
+DROPPED = RAW | frozenset("nav footer aside dialog menu button select label datalist legend output head object canvas audio video".split())
 INLINE = frozenset(
     "a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
@@ -54,10 +60,12 @@ PLACES = frozenset(
     "area bar block body bottom box btn button buttons container content count form global group icon icons inner item items left link links list"
     " page panel posts right row section site slot text title top unit wrap wrapper".split()
 )
-#: Share of a page's text beyond which a name does not remove an element.
-MOST = 2 / 3
+COMMENTS = frozenset("comment comments commentlist respond reply replies disqus discussion".split())
+#: Words of names that layouts also give to what holds the article.
+LAYOUT = frozenset("widget banner header masthead social share sharing toolbar toolbars".split())
 _KEPT = frozenset(("html", "body", "main"))
-_TAG = re.compile(r"<(?:!--.*?(?:--!?>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[!?/][^>]*>)", re.S)
+_VALUE = r"""=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z))?"""
+_TAG = re.compile(rf"<(?:!--.*?(?:--!?>|\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|{_VALUE})*+)(?:>|\Z)|[!?/][^>]*+(?:>|\Z))", re.S)
 _NAMES = re.compile(r"""(?:^|[\s"'])(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _MAIN = re.compile(r"""(?:^|[\s"'])role\s*=\s*["']?main\b""", re.I)
 _WORD = re.compile(r"[a-z]+")
@@ -70,16 +78,24 @@ def host_of(url: str | None) -> str:
     return found[1].lower() if found else ""
 
 
-def _named(tag: str, attributes: str) -> bool:
-    """Whether a name marks the element as no part of the article."""
-    if not attributes or tag in _KEPT or tag == "article":
-        return False
-    for value in _NAMES.findall(attributes):
-        for name in value.lower().strip("\"'").split():
-            found = set(_WORD.findall(name))
-            if not found <= PLACES and found <= BOILERPLATE | PLACES:
-                return True
-    return False
+def _named(tag: str, attributes: str) -> frozenset[str]:
+    """The words of names that mark the element as no part of the article."""
+    out: set[str] = set()
+    if attributes and tag not in _KEPT:
+        for value in _NAMES.findall(attributes):
+            for name in value.lower().strip("\"'").split():
+                found = set(_WORD.findall(name))
+                if not found <= PLACES and found <= BOILERPLATE | PLACES:
+                    out |= found - PLACES
+    return frozenset(out if tag != "article" else out & COMMENTS)
+
+
+class _Held(NamedTuple):
+    """What an element, or the page, holds: text outside of links, marked articles, top headings; comments left out."""
+
+    chars: int
+    mains: int
+    heads: int
 
 
 def _hidden(tag: str, attributes: str) -> bool:
@@ -100,10 +116,13 @@ class _Page:
         self._stack: list[tuple[str, int, bool]] = []  # tag, first block, dropped
         self._dropped = self._articles = self._anchors = 0
         self._spared = spared
-        self._chars = self._mains = 0  # text and marked articles so far
-        self._open_names: list[tuple[int, int, int, int]] = []  # depth, number, text and marked articles before
+        self._held = _Held(0, 0, 0)
+        self._comments = 0
+        self._open_tags: Counter[str] = Counter()
+        self._open_names: list[tuple[int, int, bool, _Held]] = []  # depth, number, whether of comments, what the page held before
         self._names = 0
-        self.holds: list[tuple[int, int, int]] = []  # number, text and marked articles of each named element
+        self.holds: list[tuple[int, bool, _Held]] = []  # number, whether layout only, and what it holds, of each named element
+        self._layout: dict[int, bool] = {}
         self._scan(source)
 
     def _flush(self) -> None:
@@ -119,15 +138,24 @@ class _Page:
     def _add(self, text: str) -> None:
         if text and not self._dropped:
             self._text.append(text)
-            self._chars += len("".join(text.split()))
             if self._anchors:
                 self._linked += len(text)
+            else:
+                self._hold(chars=len("".join(text.split())))
+
+    def _hold(self, chars: int = 0, mains: int = 0, heads: int = 0) -> None:
+        if not self._comments and not self._dropped:
+            held = self._held
+            self._held = _Held(held.chars + chars, held.mains + mains, held.heads + heads)
 
     def _pop(self) -> None:
         tag, first, dropped = self._stack.pop()
+        self._open_tags[tag] -= 1
         if self._open_names and self._open_names[-1][0] == len(self._stack):
-            _, number, chars, mains = self._open_names.pop()
-            self.holds.append((number, self._chars - chars, self._mains - mains))
+            _, number, comments, before = self._open_names.pop()
+            self._comments -= comments
+            if not comments:
+                self.holds.append((number, self._layout[number], _Held(*(a - b for a, b in zip(self._held, before, strict=True)))))
         if tag not in INLINE:
             self._flush()
         self._dropped -= dropped
@@ -140,6 +168,8 @@ class _Page:
 
     def _close(self, names: tuple[str, ...], within: tuple[str, ...]) -> None:
         """Ends the innermost element of ``names`` that is open, unless one of ``within`` is nearer."""
+        if not any(self._open_tags[n] for n in names):
+            return
         for k in range(len(self._stack) - 1, -1, -1):
             if self._stack[k][0] in names:
                 while len(self._stack) > k:
@@ -164,11 +194,16 @@ class _Page:
             return
         dropped = tag in DROPPED or tag == "header" and not self._articles or _hidden(tag, attributes)
         main = tag in ("article", "main") or bool(_MAIN.search(attributes))
-        if not dropped and _named(tag, attributes):
-            self._open_names.append((len(self._stack), self._names, self._chars, self._mains))
-            dropped = self._spared is not None and self._names not in self._spared and not main
+        words = _named(tag, attributes) if not dropped else frozenset()
+        if words or tag == "form" and not dropped:
+            number, comments = self._names, bool(words & COMMENTS)
+            self._open_names.append((len(self._stack), number, comments, self._held))
+            self._layout[number] = words <= LAYOUT
             self._names += 1
-        self._mains += main and not self._dropped
+            self._comments += comments
+            dropped = comments or self._spared is not None and number not in self._spared and not main
+        if not dropped:
+            self._hold(mains=main, heads=tag == "h1")
         self._dropped += dropped
         if main:
             self._articles += 1
@@ -176,6 +211,7 @@ class _Page:
         elif tag == "a":
             self._anchors += 1
         self._stack.append((tag, len(self.blocks), dropped))
+        self._open_tags[tag] += 1
 
     def _scan(self, source: str) -> None:
         at = 0
@@ -188,7 +224,7 @@ class _Page:
             if found[1]:
                 self._close((tag, "main!") if tag in ("div", "section") else (tag,), ())
             elif tag in RAW:
-                end = re.compile(rf"</{re.escape(tag)}[^>]*>", re.I).search(source, at) if not found[3].endswith("/") else None
+                end = re.compile(rf"</{re.escape(tag)}[^>]*+(?:>|\Z)", re.I).search(source, at) if not found[3].endswith("/") else None
                 at = end.end() if end else at if found[3].endswith("/") else len(source)
             else:
                 self._open(tag, found[3])
@@ -198,7 +234,7 @@ class _Page:
         while self._stack:
             self._pop()
         self._flush()
-        self.holding = self._chars
+        self.holding = self._held
 
     def kept(self) -> list[bool]:
         if any(self._marked):
@@ -206,15 +242,32 @@ class _Page:
         return [x <= 0.6 for x in self._links]
 
 
-def _subtree(tag: str, blocks: list[str]) -> int:
-    return xxhash.xxh3_64_intdigest("\n".join([tag, *blocks])) - (1 << 63)
+_PRIME = (1 << 61) - 1
+_BASE = 0x1F3D5B79A2C4E687 % _PRIME
+
+
+def _subtrees_of(page: _Page) -> list[int]:
+    """Hash of the tag and the blocks of each element, from running hashes of the blocks."""
+    run, power = [0], [1]
+    for block in page.blocks:
+        run.append((run[-1] * _BASE + xxhash.xxh3_64_intdigest(block)) % _PRIME)
+        power.append(power[-1] * _BASE % _PRIME)
+    out = []
+    for tag, a, z in page.elements:
+        blocks = (run[z] - run[a] * power[z - a]) % _PRIME
+        out.append(xxhash.xxh3_64_intdigest(f"{tag} {z - a} {blocks}") - (1 << 63))
+    return out
 
 
 def _read(source: str | None) -> tuple[_Page, list[bool]]:
     page = _Page(source or "", None)
     if page.holds:
-        least = MOST * page.holding
-        page = _Page(source or "", frozenset(n for n, chars, mains in page.holds if mains or chars > least))
+        whole = page.holding
+        spared = frozenset(
+            number for number, layout, held in page.holds
+            if whole.mains and held.mains == whole.mains or layout and held.heads == whole.heads and 2 * held.chars > whole.chars
+        )
+        page = _Page(source or "", spared)
     return page, page.kept()
 
 
@@ -223,9 +276,10 @@ def _subtrees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for url, source in zip(batch["url"], batch["html"], strict=True):
             page, kept = _read(source)
-            print_ = _subtree("", [b for b, k in zip(page.blocks, kept, strict=True) if k])
+            print_ = xxhash.xxh3_64_intdigest("\n".join(b for b, k in zip(page.blocks, kept, strict=True) if k)) - (1 << 63)
             host = host_of(url)
-            seen = {_subtree(tag, page.blocks[a:z]) for tag, a, z in page.elements if any(kept[a:z])}
+            before = [0, *accumulate(kept)]
+            seen = {x for x, (_, a, z) in zip(_subtrees_of(page), page.elements, strict=True) if before[z] > before[a]}
             rows += [(host, x, print_) for x in seen]
         yield pd.DataFrame(rows, columns=["host", "subtree", "page"])
 
@@ -247,9 +301,11 @@ def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             page, kept = _read(source)
             if gone is not None and len(gone):
                 gone = set(map(int, gone))
-                for tag, a, z in page.elements:
-                    if _subtree(tag, page.blocks[a:z]) in gone:
-                        kept[a:z] = [False] * (z - a)
+                edges = [0] * (len(kept) + 1)
+                for x, (_, a, z) in zip(_subtrees_of(page), page.elements, strict=True):
+                    if x in gone:
+                        edges[a], edges[z] = edges[a] + 1, edges[z] - 1
+                kept = [k and not inside for k, inside in zip(kept, accumulate(edges), strict=False)]
             out.append("\n".join(b for b, k in zip(page.blocks, kept, strict=True) if k))
         yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": out, "n_chars": [len(t) for t in out]})
 

@@ -189,6 +189,23 @@ def test_components_of_a_long_chain(spark):
     assert got == {**{i: 0 for i in range(71)}, 100: 100, 200: 100}
 
 
+# languages
+
+
+def test_a_language_without_spaces_is_learned(spark):
+    from sightline.llm.language import identify_languages
+
+    rng = np.random.default_rng(4)
+    signs = [chr(0x4E00 + i) for i in range(300)]
+    chinese = ["".join(rng.choice(signs, 60)) + "。" for _ in range(60)]
+    rows = [(i, prose(900 + i, 40), "en") for i in range(60)] + [(100 + i, t, "zh") for i, t in enumerate(chinese)] + [(300, None, "xx"), (301, "...", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = {r.doc_id: r for r in identify_languages(docs).collect()}
+    assert len(got) == len(rows) and any(got[i].held_out for i in range(100, 160))
+    assert all(got[i].lang_pred == "en" for i in range(60)) and all(got[100 + i].lang_pred == "zh" for i in range(60))
+    assert got[300].lang_pred == got[301].lang_pred == "und"
+
+
 # repeated spans
 
 
@@ -509,6 +526,40 @@ def test_layout_names_keep_the_article(spark):
     assert got == dict(enumerate(LAYOUTS.values()))
 
 
+STORY, MORE = "<h1>Head</h1><p>Short story.</p>", "Many words here and more of them. " * 40
+STRUCTURE = {
+    f"<article>{STORY}<div class='comments'><p>{MORE}</p></div></article>": "Head\nShort story.",
+    f"<div>{STORY}</div><div id=comments><article class=x><p>{MORE}</p></article></div>": "Head\nShort story.",
+    f"<div>{STORY}</div><div class=sidebar><p>{MORE}</p></div>": "Head\nShort story.",
+    f"<div>{STORY}</div><div class='cookie-banner'><p>{MORE}</p></div>": "Head\nShort story.",
+    f"<article class='comment'><p>{MORE}</p></article><article>{STORY}</article>": "Head\nShort story.",
+    f"<article>{STORY}</article><div class=sidebar><article><p>{MORE}</p></article></div>": "Head\nShort story.",
+    f"<form id=f><input><div><article>{STORY}</article><label>L</label><button>Go</button></div></form>": "Head\nShort story.",
+    f"<form><h1>Head</h1><p>{MORE}</p><select><option>1</option></select></form><p>x</p>": f"Head\n{MORE.strip()}\nx",
+    f"<p>{MORE}</p><form><p>Your name</p></form>": MORE.strip(),
+    "a <b title=\"x > y\">bold</b> c <i data-x='>'>d</i>": "a bold c d",
+}
+
+
+def test_structure_decides_over_names_and_forms(spark):
+    from sightline.llm.html_text import extract_text
+
+    rows = [(i, f"http://h{i}.example/", f"<html><body>{p}</body></html>") for i, p in enumerate(STRUCTURE)]
+    got = {r.page_id: r.text for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == dict(enumerate(STRUCTURE.values()))
+
+
+@pytest.mark.parametrize("page", ["<b>" * 100_000 + "</i>" * 100_000, "<a '" * 100_000, "<a x='" * 100_000, "<div>x" * 60_000, "<" * 600_000, "<script>" + "</script " * 60_000])
+def test_odd_pages_take_time_in_proportion(page):
+    import time
+
+    from sightline.llm.html_text import _read
+
+    began = time.process_time()
+    _read(page)
+    assert time.process_time() - began < 10  # seconds; a scan in the square of the length takes minutes
+
+
 def test_given_pages_match_their_articles(spark, sf):
     from sightline.llm.html_text import extract_text
 
