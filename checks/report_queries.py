@@ -228,6 +228,9 @@ register("i1_active_listings", lambda t: C.active_listings(t.listings, 50).selec
          "SELECT listing_id, last_rent_hkd, CAST(last_seen_at AS VARCHAR) AS last_seen_at FROM listings WHERE active ORDER BY last_rent_hkd NULLS FIRST, listings.last_seen_at DESC, listing_id LIMIT 50")
 register("i2_all_listings", lambda t: C.all_listings(t.listings, 80).select("listing_id", "active"),
          "SELECT listing_id, active FROM listings ORDER BY active DESC, last_seen_at DESC, listing_id LIMIT 80")
+register("i1_active_listings_all", lambda t: C.active_listings(t.listings).select("listing_id", "last_rent_hkd", "last_seen_at"),
+         "SELECT listing_id, last_rent_hkd, CAST(last_seen_at AS VARCHAR) AS last_seen_at FROM listings WHERE active")
+register("i2_all_listings_all", lambda t: C.all_listings(t.listings).select("listing_id", "active"), "SELECT listing_id, active FROM listings")
 register("i3_latest_changes", lambda t: C.latest_changes(t.obs, t.listings).select("obs_id", "canonical_id", "source_site", "rent_hkd"),
          "SELECT o.obs_id, l.canonical_id, o.source_site, o.rent_hkd FROM obs o JOIN listings l USING (listing_id) ORDER BY obs_id DESC LIMIT 100")
 register("i4_recently_delisted", lambda t: C.recently_delisted(t.state, t.listings).select("source_key", "first_missing_at", "estate_name", "last_rent_hkd"),

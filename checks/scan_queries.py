@@ -99,7 +99,7 @@ _BASE = f"""WITH r AS (SELECT unnest(range(1, 4)) AS run_id), p AS (
 ), ev AS (SELECT *, CASE WHEN next_gate IS NOT NULL AND (next_run IS NULL OR next_gate < next_run) THEN next_gate END AS missing FROM nx)"""
 
 
-def _oracle(select: str) -> str:
+def scan_oracle(select: str) -> str:
     from checks.oracle import sql
 
     text = sql("SELECT * FROM props")
@@ -108,21 +108,21 @@ def _oracle(select: str) -> str:
 
 
 _DAY = "'2024-03-0' || {} || ' 06:00:00'"
-register("scan_end_to_end", _state, _oracle(f"""SELECT source_key, any_value(source_site) AS source_site, {_DAY.format('min(ev.run_id)')} AS first_seen_at, {_DAY.format('max(ev.run_id)')} AS last_seen_at,
+register("scan_end_to_end", _state, scan_oracle(f"""SELECT source_key, any_value(source_site) AS source_site, {_DAY.format('min(ev.run_id)')} AS first_seen_at, {_DAY.format('max(ev.run_id)')} AS last_seen_at,
     {_DAY.format('min(missing)')} AS first_missing_at, count(missing) AS missing_count, arg_max(missing IS NULL, ev.run_id) AS active, CAST(max(ev.run_id) AS INT) AS last_run_id,
     count(*) AS observations, count(*) AS ids, any_value(rent) AS rent_hkd FROM ev JOIN (SELECT DISTINCT source_key, rent FROM p) USING (source_key) GROUP BY source_key"""))
 register("g20_source_ledger", lambda t: S.validation(t.spark, scanned(t)),
-         _oracle("""SELECT run_id, source_site, ok, errors, pages_due, pages_seen, raw AS raw_observations, kept AS filtered_observations, raw - kept AS rejected_observations,
+         scan_oracle("""SELECT run_id, source_site, ok, errors, pages_due, pages_seen, raw AS raw_observations, kept AS filtered_observations, raw - kept AS rejected_observations,
     eligible AS missing_marking_enabled, coalesce(m.n, 0) AS missing_sources_marked FROM gate LEFT JOIN (SELECT missing AS run_id, source_site, count(*) AS n FROM ev WHERE missing IS NOT NULL GROUP BY ALL) m USING (run_id, source_site)"""))
 register("k4_derived_gate", lambda t: S.read(t.spark, scanned(t), "ledger").select("run_id", "source_site", "errors", "ok", "eligible"),
-         _oracle("SELECT run_id, source_site, errors, ok, eligible FROM gate"))
+         scan_oracle("SELECT run_id, source_site, errors, ok, eligible FROM gate"))
 register("k9_derived_status", lambda t: S.manifests(t.spark, scanned(t)).select("run_id", "mode", "status", "errors", "inserted", "missing_marked"),
-         _oracle("""SELECT CAST(run_id AS INT) AS run_id, CASE WHEN run_id = 1 THEN 'initial' ELSE 'daily' END AS mode, CASE WHEN sum(errors) > 0 THEN 'partial' ELSE 'ok' END AS status, CAST(sum(errors) AS BIGINT) AS errors,
+         scan_oracle("""SELECT CAST(run_id AS INT) AS run_id, CASE WHEN run_id = 1 THEN 'initial' ELSE 'daily' END AS mode, CASE WHEN sum(errors) > 0 THEN 'partial' ELSE 'ok' END AS status, CAST(sum(errors) AS BIGINT) AS errors,
     CAST(sum(kept) AS BIGINT) AS inserted, (SELECT count(*) FROM ev WHERE missing = gate.run_id) AS missing_marked FROM gate GROUP BY run_id"""))
 register("a5_declared_pages", lambda t: G.completeness(S.read(t.spark, scanned(t), "facts")),
-         _oracle("""SELECT run_id, source_site, greatest(1, coalesce(declared, 1)) AS pages_due, seen AS pages_seen, broken AS pages_broken, greatest(0, greatest(1, coalesce(declared, 1)) - seen - broken) AS pages_lost,
+         scan_oracle("""SELECT run_id, source_site, greatest(1, coalesce(declared, 1)) AS pages_due, seen AS pages_seen, broken AS pages_broken, greatest(0, greatest(1, coalesce(declared, 1)) - seen - broken) AS pages_lost,
     seen >= greatest(1, coalesce(declared, 1)) AS complete FROM c"""))
 register("a5_page_problems", lambda t: G.problem_counts(S.read(t.spark, scanned(t), "facts"), S.read(t.spark, scanned(t), "ledger")),
-         _oracle("""SELECT run_id, source_site, problem, count(*) AS pages FROM pg WHERE problem IS NOT NULL GROUP BY ALL
+         scan_oracle("""SELECT run_id, source_site, problem, count(*) AS pages FROM pg WHERE problem IS NOT NULL GROUP BY ALL
     UNION ALL SELECT run_id, source_site, 'lost', pages_due - pages_seen - broken FROM led WHERE pages_due > pages_seen + broken
     UNION ALL SELECT run_id, source_site, 'source not allowed', 1 FROM led WHERE NOT allowed"""))

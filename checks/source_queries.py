@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from checks.fixtures import LAYOUTS, TERMS, Tables
 from checks.oracle import label, psf
 from checks.registry import register
+from checks.scan_queries import scan_oracle, scanned
 from checks.state_queries import _STATE_SQL, _report
 from checks.text_queries import _ASOF, _FOUND, _OUT, _OUT_SQL, card_pages, items_1, items_2, items_3
 from sightline import constants as K
@@ -16,6 +17,7 @@ from sightline.operators import extraction as E
 from sightline.operators import lifecycle as L
 from sightline.operators.filters import Filters
 from sightline.plans import daily_report as D
+from sightline.plans import scan as S
 from sightline.session import new_path
 from sightline.sources import landed, sinks
 from sightline.streaming import jobs
@@ -112,6 +114,22 @@ register("a8_run_snapshot", _snapshot,
             ON e.run_id = o.run_id AND e.source_site = o.source_site GROUP BY 1, 2""")
 
 
+def _snapshot_rows(t: Tables) -> DataFrame:
+    """Every observation of the snapshot with what its source's validation says, errors included."""
+    path = new_path(t.spark, "snapshot")
+    S.read(t.spark, scanned(t), "rejected").select("run_id", "source_site", "obs_id", "source_key", "rejected_by").write.parquet(path + "-marked")
+    kept = S.read(t.spark, scanned(t), "observations").select("run_id", "source_site", "obs_id", "source_key", F.lit(None).cast("string").alias("rejected_by"))
+    sinks.write_run_snapshot(S.validation(t.spark, scanned(t)), kept.unionByName(t.spark.read.parquet(path + "-marked")), path)
+    rows = t.spark.read.schema("obs_id bigint, source_key string, rejected_by string, run_id int, source_site string").json(f"{path}/observations")
+    valid = t.spark.read.schema("run_id int, source_site string, ok boolean, errors bigint, missing_sources_marked bigint").json(f"{path}/validation")
+    return valid.join(rows, ["run_id", "source_site"], "left").select("run_id", "source_site", "ok", "errors", "missing_sources_marked", "source_key", "rejected_by")
+
+
+register("a8_snapshot_rows", _snapshot_rows,
+         scan_oracle("""SELECT gate.run_id, gate.source_site, ok, errors, coalesce(m.n, 0) AS missing_sources_marked, raw.source_key, CASE WHEN raw.rent < 9200 THEN 'rent' END AS rejected_by
+    FROM gate LEFT JOIN (SELECT missing AS run_id, source_site, count(*) AS n FROM ev WHERE missing IS NOT NULL GROUP BY ALL) m USING (run_id, source_site) LEFT JOIN raw ON raw.run_id = gate.run_id AND raw.source_site = gate.source_site"""))
+
+
 def _csv(df: DataFrame, columns: list[str], types: str, keep: list[str]) -> DataFrame:
     path = new_path(df.sparkSession, "csv")
     sinks.write_csv(df, columns, path)
@@ -153,6 +171,52 @@ register("k10_daily_report", _report, f"""{_REPORT_ROWS}
     UNION ALL SELECT 'overview', 1 UNION ALL SELECT 'market_heat', 1""")
 
 
+_ROW_FILES = ["new_listings", "removed_listings", "source_disappeared", "rent_changes", "rent_decreases", "budget_stats", "withdrawal_lag_stats"]
+
+
+def _report_rows(t: Tables) -> DataFrame:
+    """Key and value of every row of the CSV datasets that no limit cuts, read back."""
+    tables = D.daily_report(t.obs, t.runs, t.listings, t.state, LAYOUTS)
+    paths = sinks.write_report(tables, "2024-01-30", new_path(t.spark, "report"))
+    tables["snapshots"].unpersist()
+    out = None
+    for name in _ROW_FILES:
+        columns = sinks.REPORT_COLUMNS[name]
+        schema = ", ".join(f"`{c}` string" for c in columns)
+        key = {"budget_stats": "rent_lower", "withdrawal_lag_stats": "lag_bucket"}.get(name, "canonical_id")
+        value = {"budget_stats": "rent_upper", "withdrawal_lag_stats": "source_missing_count"}.get(name, "rent_hkd")
+        rows = t.spark.read.option("header", True).option("enforceSchema", True).schema(schema).csv(paths[name])
+        rows = rows.select(F.lit(name).alias("dataset"), F.col(key).alias("key"), F.col(value).cast("bigint").alias("value"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+register("a11_report_rows", _report_rows, """SELECT 'new_listings' AS dataset, canonical_id AS key, CAST(last_rent_hkd AS BIGINT) AS value FROM listings, tgt WHERE first_seen_at >= tgt.c
+    UNION ALL SELECT 'removed_listings', canonical_id, rent_hkd FROM remv UNION ALL SELECT 'source_disappeared', canonical_id, rent_hkd FROM gone, tgt WHERE first_missing_at = tgt.c
+    UNION ALL SELECT 'rent_changes', canonical_id, rent_hkd FROM chg UNION ALL SELECT 'rent_decreases', canonical_id, rent_hkd FROM chg WHERE delta < 0
+    UNION ALL SELECT 'budget_stats', CAST(rent_lower AS VARCHAR), rent_upper FROM bands
+    UNION ALL SELECT 'withdrawal_lag_stats', b.l, (SELECT count(*) FROM wd WHERE wd.bucket = b.l) FROM (SELECT unnest(['0-7天', '8-14天', '15-30天', '30天以上']) AS l) b""")
+
+
+def _bundle_rows(t: Tables) -> DataFrame:
+    """Key and value of every row of the bundle's tables of listings and records."""
+    tables = D.daily_report(t.obs, t.runs, t.listings, t.state, LAYOUTS)
+    keys = {"snapshots": F.concat_ws(":", "period", "listing_id"), "new_listings": F.col("listing_id").cast("string"), "removed_listings": F.col("listing_id").cast("string"),
+            "rent_changes": F.col("listing_id").cast("string"), "rent_decreases": F.col("listing_id").cast("string"), "source_disappeared": F.col("source_key"), "withdrawals": F.col("source_key")}
+    out = None
+    for name, key in keys.items():
+        rows = tables[name].select(F.lit(name).alias("dataset"), key.alias("key"), F.col("rent_hkd").cast("bigint").alias("value"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+register("k10_report_rows", _bundle_rows, """SELECT 'snapshots' AS dataset, period || ':' || listing_id AS key, CAST(rent_hkd AS BIGINT) AS value FROM snap
+    UNION ALL SELECT 'new_listings', CAST(listing_id AS VARCHAR), last_rent_hkd FROM listings, tgt WHERE first_seen_at >= tgt.c
+    UNION ALL SELECT 'removed_listings', CAST(listing_id AS VARCHAR), rent_hkd FROM remv
+    UNION ALL SELECT 'rent_changes', CAST(listing_id AS VARCHAR), rent_hkd FROM chg UNION ALL SELECT 'rent_decreases', CAST(listing_id AS VARCHAR), rent_hkd FROM chg WHERE delta < 0
+    UNION ALL SELECT 'source_disappeared', source_key, rent_hkd FROM gone, tgt WHERE first_missing_at = tgt.c UNION ALL SELECT 'withdrawals', source_key, rent_hkd FROM wd""")
+
+
 # L: streams over landed files
 def _stream(t: Tables, df: DataFrame, name: str) -> DataFrame:
     return t.spark.readStream.schema(df.schema).parquet(landed_copy(df, name))

@@ -80,17 +80,30 @@ register("f2_same_identity", lambda t: M.same_identity(
 register("f3_candidate_match", lambda t: _candidates(t).where("candidate_id is not null").select("obs_id", "candidate_id"),
          f"""SELECT a.id AS obs_id, arg_min(b.id, (b.id % 2) * 100000000000 + (b.id % 5) * 10000000000 + b.id) AS candidate_id
              FROM nu a JOIN nu b ON {STRICT} GROUP BY a.id""")
+# each unit with the next ones of its estate, block, floor, flat and layout: two partners per field, no pairs of a whole group
+_PARTNERS = ["f1", "f2", "f3", "f4", "f5"]
 register("f4_strict_match", lambda t: _neighbours(t),
-         f"""SELECT a.id, b.id AS other, {STRICT} AS strict FROM (SELECT nu.* REPLACE (coalesce(rent, 0) AS rent) FROM nu) a
-             JOIN (SELECT nu.* REPLACE (coalesce(rent, 0) AS rent) FROM nu) b ON b.id = a.id + 600""")
+         f"""SELECT DISTINCT a.id, b.id AS other, {STRICT.replace("a.rent - b.rent", "coalesce(a.rent, 0) - coalesce(b.rent, 0)").replace("abs(", "a.rent IS NOT NULL AND b.rent IS NOT NULL AND abs(")} AS strict
+             FROM ({" UNION ".join(f"SELECT id, unnest([lead(id) OVER w, lead(id, 2) OVER w]) AS other FROM nu WHERE {f} IS NOT NULL WINDOW w AS (PARTITION BY {f} ORDER BY coalesce(rent, 0), id)" for f in _PARTNERS)}) p
+             JOIN nu a ON a.id = p.id JOIN nu b ON b.id = p.other""")
 register("f5_match_summary", lambda t: M.match_summary(_units(t), "id").select("id", "matches", "first_match"),
          f"SELECT a.id, count(b.id) FILTER (WHERE b.id <> a.id) AS matches, coalesce(min(b.id), a.id) AS first_match FROM nu a LEFT JOIN nu b ON {STRICT} GROUP BY a.id")
 
 
 def _neighbours(t: Tables) -> DataFrame:
-    a = _units(t).alias("a")
-    b = _units(t).withColumn("prev", F.col("id") - 600).alias("b")
-    return a.join(b, F.col("b.prev") == F.col("a.id")).select("a.id", F.col("b.id").alias("other"), M.strict_match("a", "b").alias("strict"))
+    from pyspark.sql import Window
+
+    units = _units(t)
+    pairs = None
+    for field in M.FIELDS[:5]:
+        order = Window.partitionBy(field).orderBy(F.coalesce("rent", F.lit(0)), "id")
+        near = units.where(F.col(field).isNotNull()).select("id", F.lead("id").over(order).alias("one"), F.lead("id", 2).over(order).alias("two"))
+        found = near.select("id", F.explode(F.array("one", "two")).alias("other"))
+        pairs = found if pairs is None else pairs.unionByName(found)
+    pairs = pairs.where("other is not null").distinct()
+    a, b = units.alias("a"), units.alias("b")
+    both = pairs.join(a, F.col("a.id") == pairs["id"]).join(b, F.col("b.id") == pairs["other"])
+    return both.select(pairs["id"], pairs["other"], M.strict_match("a", "b").alias("strict"))
 
 
 # K: lifecycle
@@ -222,13 +235,13 @@ register("g19_source_summary", lambda t: L.source_summary(t.state).select(
          """SELECT listing_id, count(*) AS sources_count, bool_or(active) AS active, string_agg(source_site, ',' ORDER BY source_site) AS sites,
             string_agg(source_url, ',' ORDER BY source_site) AS urls FROM state GROUP BY listing_id""")
 register("j1_removed_ids", lambda t: _removed(t), at_date("SELECT listing_id FROM remv", EARLY_DATE))
-register("j2_unseen_keys", lambda t: L.unseen_keys(t.state, t.seen.where("run_id = 30")).select("source_key"),
-         "SELECT source_key FROM state WHERE active AND source_key NOT IN (SELECT source_key FROM seen WHERE run_id = 30)")
-register("j3_first_occurrence", lambda t: t.obs.groupBy("source_key").agg(F.min("obs_id").alias("obs_id")),
-         "SELECT source_key, min(obs_id) AS obs_id FROM obs GROUP BY source_key")
-register("j4_distinct_keys_per_source", lambda t: t.obs.groupBy("source_site").agg(F.countDistinct("source_key").alias("keys")),
+register("j2_unseen_keys", lambda t: L.unseen_keys(t.state, t.seen.join(F.broadcast(R.latest_run(t.runs)), "run_id")).select("source_key"),
+         "SELECT source_key FROM state WHERE active AND source_key NOT IN (SELECT source_key FROM seen WHERE run_id = (SELECT arg_max(run_id, started_at) FROM runs))")
+register("j3_first_occurrence", lambda t: L.first_occurrences(t.obs),
+         "SELECT source_key, min(obs_id) AS obs_id, min(run_id) AS run_id, CAST(min(obs.seen_at) AS VARCHAR) AS seen_at FROM obs GROUP BY source_key")
+register("j4_distinct_keys_per_source", lambda t: L.distinct_keys(t.obs),
          "SELECT source_site, count(DISTINCT source_key) AS keys FROM obs GROUP BY source_site")
-register("j5_report_dates", lambda t: R.ok_runs(t.runs).select("run_date").union(t.obs.select("run_date")).distinct(),
+register("j5_report_dates", lambda t: R.known_dates(t.runs, t.obs),
          "SELECT CAST(run_date AS VARCHAR) AS run_date FROM (SELECT run_date FROM runs WHERE status = 'ok' UNION SELECT run_date FROM obs)")
 
 

@@ -153,6 +153,19 @@ def unseen_keys(state: DataFrame, seen: DataFrame) -> DataFrame:
     return state.where("active").join(seen.select("source_key"), "source_key", "left_anti")
 
 
+def first_occurrences(observations: DataFrame) -> DataFrame:
+    """The first observation of every source record: its number, run and time."""
+    return observations.groupBy("source_key").agg(
+        F.min("obs_id").alias("obs_id"), F.min("run_id").alias("run_id"), F.min("seen_at").alias("seen_at")
+    )
+
+
+def distinct_keys(observations: DataFrame) -> DataFrame:
+    """Number of different records per source. Keys are made distinct first, so that a large source is spread over tasks."""
+    keys = observations.select("source_site", "source_key").distinct()
+    return keys.groupBy("source_site").agg(F.count("source_key").alias("keys"))
+
+
 def run_status(blocked: Column, failed: Column, errors: Column) -> Column:
     return (
         F.when(blocked, F.lit("blocked")).when(failed, F.lit("failed")).when(errors > 0, F.lit("partial")).otherwise(F.lit("ok"))

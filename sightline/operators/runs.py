@@ -65,3 +65,13 @@ def tracking_days(runs: DataFrame, report_dates: DataFrame) -> DataFrame:
     return days.join(later, "report_date", "left").select(
         "report_date", (F.lit(1) + F.coalesce("n", F.lit(0))).alias("tracking_days")
     )
+
+
+def known_dates(runs: DataFrame, observations: DataFrame) -> DataFrame:
+    """Dates with a successful run or with observations."""
+    return ok_runs(runs).select("run_date").unionByName(observations.select("run_date").distinct()).distinct()
+
+
+def latest_run(runs: DataFrame) -> DataFrame:
+    """run_id of the last run that started, whatever came of it."""
+    return runs.agg(F.max_by("run_id", F.struct("started_at", "run_id")).alias("run_id"))

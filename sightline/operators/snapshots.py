@@ -90,9 +90,40 @@ def snapshots(observations: DataFrame, listings: DataFrame, sources: DataFrame,
     )
 
 
-def active_counts(sources: DataFrame, cutoffs: list[datetime]) -> DataFrame:
-    """Number of active listings at every cutoff, zeros included."""
-    spark = sources.sparkSession
-    every = spark.range(1).select(F.explode(_cutoffs(cutoffs)).alias("cutoff"))
-    counts = active_sources(sources, cutoffs).groupBy("cutoff").agg(F.count("*").alias("n"))
-    return every.join(counts, "cutoff", "left").select("cutoff", F.coalesce("n", F.lit(0)).alias("active_count"))
+def _spans(sources: DataFrame) -> DataFrame:
+    """listing_id, start, end (null: open) of the times at which a source of a listing is active. A record's state is one or two spans."""
+    if "start_at" in sources.columns:
+        return sources.select("listing_id", F.col("start_at").alias("start"), F.col("end_at").alias("end"))
+    until = sources.select("listing_id", F.col("first_seen_at").alias("start"), F.col("first_missing_at").alias("end"))
+    back = sources.where(F.col("active") & F.col("first_missing_at").isNotNull())
+    return until.unionByName(back.select("listing_id", F.col("last_seen_at").alias("start"), F.lit(None).cast("timestamp").alias("end")))
+
+
+def activity_changes(sources: DataFrame) -> DataFrame:
+    """(at, change): by how much the number of active listings changes at each time.
+
+    Spans are starts and ends of runs, so a listing has few different ones however many copies it has; these are merged where they
+    overlap, and only the ends of what is left count.
+    """
+    spans = _spans(sources).where("start is not null and (end is null or end > start)").distinct()
+    order = Window.partitionBy("listing_id").orderBy("start")
+    far = F.lit("9999-12-31").cast("timestamp")
+    reach = F.max(F.coalesce("end", far)).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.when(F.col("start") <= reach, 0).otherwise(1)
+    rows = spans.withColumn("opens", opens).withColumn("part", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = rows.groupBy("listing_id", "part").agg(F.min("start").alias("start"), F.max(F.coalesce("end", far)).alias("end"))
+    ends = F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("change")), F.struct(F.col("end").alias("at"), F.lit(-1).alias("change")))
+    return merged.select(F.inline(ends)).where(F.col("at") < far).groupBy("at").agg(F.sum("change").alias("change"))
+
+
+def active_counts(sources: DataFrame, cutoffs: list[datetime] | DataFrame) -> DataFrame:
+    """Number of active listings at every cutoff, zeros included, by a sweep over the times at which it changes.
+
+    ``cutoffs`` may be a table with a column ``cutoff``. The last window holds one row per time and cutoff, none per listing.
+    """
+    if not isinstance(cutoffs, DataFrame):
+        cutoffs = sources.sparkSession.range(1).select(F.explode(_cutoffs(cutoffs)).alias("cutoff"))
+    asked = cutoffs.select(F.col("cutoff").alias("at"), F.lit(0).cast("bigint").alias("change"), F.lit(True).alias("asked")).distinct()
+    events = activity_changes(sources).withColumn("asked", F.lit(False)).unionByName(asked)
+    upto = Window.orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return events.withColumn("n", F.sum("change").over(upto)).where("asked").select(F.col("at").alias("cutoff"), F.col("n").alias("active_count"))

@@ -30,6 +30,9 @@ def ingest(
 
     Of the rows of a batch that with the smallest obs_id is taken, and a row that an earlier batch has written stays. Rows that
     lie more than ``delay`` behind the latest row of earlier batches are written to ``late`` as well, for ``rebuild_late``.
+
+    Beside the log lie the keys of each batch in a folder per run (``key_folder``), and the latest time of each batch. A row can only be a second
+    one of its own run, so a batch reads the keys of the runs it has rows of, not the log.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
@@ -37,22 +40,36 @@ def ingest(
         kept = filter_observations(batch, filters, terms)
         row = F.min_by(F.struct(*kept.columns), "obs_id").alias("row")
         rows = kept.groupBy("source_key", "run_id").agg(row).select("row.*")
+        bound = None
         if batch_id:
-            log = spark.read.schema(kept.schema.add("batch", "long")).parquet(out).where(F.col("batch") < batch_id)
-            keys = log.select(F.col("source_key").alias("_key"), F.col("run_id").alias("_run")).distinct()
+            runs = [r.run_id for r in batch.select("run_id").distinct().collect()]  # the runs of one batch
+            keys = known_keys(spark, out, batch_id, runs)
             same = F.col("source_key").eqNullSafe(F.col("_key")) & F.col("run_id").eqNullSafe(F.col("_run"))
             rows = rows.join(keys, same, "left_anti")
-            bound = log.agg((F.max("seen_at") - F.expr(f"INTERVAL {delay}")).alias("_bound"))
-        else:
-            bound = spark.range(1).select(F.lit(None).cast("timestamp").alias("_bound"))
+            bound = spark.read.schema("last timestamp, batch long").parquet(f"{out}-last").where(F.col("batch") < batch_id).agg(F.max("last")).first()[0]
         rows.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
         new = spark.read.schema(rows.schema).parquet(f"{out}/batch={batch_id}")
-        behind = new.join(F.broadcast(bound), F.col("seen_at") < F.col("_bound")).drop("_bound")
-        behind.write.mode("overwrite").parquet(f"{late}/batch={batch_id}")
+        limit = F.lit(bound).cast("timestamp") - F.expr(f"INTERVAL {delay}")
+        new.where(F.col("seen_at") < limit).write.mode("overwrite").parquet(f"{late}/batch={batch_id}")
+        new.agg(F.max("seen_at").alias("last")).write.mode("overwrite").parquet(f"{out}-last/batch={batch_id}")
+        new.select("source_key", "run_id").write.mode("overwrite").partitionBy("run_id").parquet(f"{key_folder(out)}/batch={batch_id}")
 
     return _each(observations, step, checkpoint)
 
 
+def key_folder(out: str) -> str:
+    return f"{out}-keys"
+
+
+def known_keys(spark: SparkSession, out: str, batch_id: int, runs: list[int]) -> DataFrame:
+    """(_key, _run) that batches before ``batch_id`` have written for some runs; folders of other runs are not read."""
+    schema = "source_key string, batch long, run_id int"
+    keys = spark.read.schema(schema).parquet(key_folder(out)).where(F.col("batch") < batch_id)
+    some = F.col("run_id").isin([r for r in runs if r is not None])
+    wanted = keys.where(some | F.col("run_id").isNull()) if None in runs else keys.where(some)
+    return wanted.select(F.col("source_key").alias("_key"), F.col("run_id").alias("_run")).distinct()
+
+
 def _version(spark: SparkSession, folder: str, batch_id: int, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{folder}/v={batch_id - 1}") if batch_id else spark.createDataFrame([], schema)
 

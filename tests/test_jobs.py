@@ -76,6 +76,20 @@ def test_ingest_keeps_late_rows(spark, tables):
     assert got == {r.obs_id for r in first.values() if r.listing_id % 5 == 0 and r.run_id <= 20 and (last - r.seen_at).days > 2} and got
 
 
+def test_a_batch_reads_the_keys_of_its_own_runs(spark, tables):
+    from sightline.operators.filters import Filters
+
+    out, late, checkpoint = jobs.folders(spark, "pruned")
+    stream, _ = landed(spark, tables.obs, SPANS, "obs")
+    jobs.ingest(stream, Filters(), [], out, late, checkpoint).awaitTermination()
+    keys = jobs.known_keys(spark, out, 2, [11, 12])
+    assert {r._run for r in keys.select("_run").distinct().collect()} == {11, 12}
+    files = keys._jdf.queryExecution().executedPlan().toString()
+    assert "run_id" in files[files.index("PartitionFilters") :].split("]")[0]
+    whole = spark.read.parquet(jobs.key_folder(out))
+    assert len(whole.where("run_id in (11, 12) and batch < 2").inputFiles()) < len(whole.inputFiles())
+
+
 @pytest.mark.parametrize("name", ["l1_stream_ingest", "l1_stream_ingest_late"])
 def test_ingest_oracle(spark, name):
     test_oracle(spark, name)

@@ -299,3 +299,27 @@ def test_completeness(spark):
     got = {r.source_site: (r.pages_due, r.pages_seen, r.complete) for r in C.page_completeness(
         spark.createDataFrame(rows, "run_id int, source_site string, page int, total bigint, page_size int")).collect()}
     assert got == {"a": (3, 2, False), "b": (1, 1, True)}
+
+
+def test_counts_by_sweep_against_brute_force(spark):
+    import random
+    from datetime import datetime, timedelta
+
+    from sightline.operators import snapshots as S
+
+    rng, day = random.Random(9), datetime(2024, 1, 1)
+    at = [day + timedelta(days=n) for n in range(12)]
+    rows = []
+    for _ in range(300):
+        a, b = sorted(rng.sample(range(12), 2))
+        rows.append((rng.randrange(25), "s", "u", at[a], at[b] if rng.random() < 0.8 else None))
+    spans = spark.createDataFrame(rows, "listing_id long, source_site string, source_url string, start_at timestamp, end_at timestamp")
+    cutoffs = [day + timedelta(hours=12 * n) for n in range(-1, 26)]
+    want = {c: len({r[0] for r in rows if r[3] <= c and (r[4] is None or r[4] > c)}) for c in cutoffs}
+    assert {r.cutoff: r.active_count for r in S.active_counts(spans, cutoffs).collect()} == want
+    table = spark.createDataFrame([(c,) for c in cutoffs], "cutoff timestamp")
+    assert {r.cutoff: r.active_count for r in S.active_counts(spans, table).collect()} == want
+    state = [(i % 9, at[i % 5], at[5 + i % 3] if i % 2 else None, at[8 + i % 3], i % 4 != 1) for i in range(40)]
+    frame = spark.createDataFrame(state, "listing_id long, first_seen_at timestamp, first_missing_at timestamp, last_seen_at timestamp, active boolean")
+    want = {c: len({r[0] for r in state if r[1] <= c and (r[2] is None or r[2] > c or r[4] and r[3] <= c)}) for c in cutoffs}
+    assert {r.cutoff: r.active_count for r in S.active_counts(frame, cutoffs).collect()} == want
