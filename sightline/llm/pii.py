@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sightline.functions.text import let
 from sightline.llm.common import columns_of
 from sightline.session import cut
 
@@ -31,6 +32,8 @@ LEARN = 0.95
 CONTEXT = 60
 #: Learned tokens of a kind with at most so many characters between them are one span.
 JOIN = 2
+#: Matches whose lengths are added up together.
+BLOCK = 64
 #: Leftmost matches as the plain expressions have them; possessive, and begun only where a run of characters begins
 #: or the last match ended.
 _EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -41,27 +44,43 @@ _TOKEN = r"(?<![A-Za-z0-9@._%+-])[A-Za-z._%+-]*+[0-9@][A-Za-z0-9@._%+-]*+"
 _GUARDS = {_EMAIL: r"@[A-Za-z0-9-]++\.", _IP: r"[0-9]\.[0-9]++\.", _CARD: _CARD, _PHONE: r"\+[0-9]", _TOKEN: "[0-9@]"}
 
 
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0), lambda acc, x: acc + x)
+
+
+def _sums_before(values: Column) -> Column:
+    """For each number the sum of those before it, by blocks of BLOCK: the sums of whole blocks, then the rest of its own."""
+
+    def blocks(x: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / BLOCK).cast("int")), lambda j: _total(F.slice(x, j * BLOCK + 1, F.lit(BLOCK))))
+
+    def before(b: Column) -> Column:
+        return F.transform(b, lambda _, j: _total(F.slice(b, F.lit(1), j)))
+
+    def each(x: Column, sums: Column) -> Column:
+        return F.transform(x, lambda _, i: F.get(sums, F.floor(i / BLOCK).cast("int")) + _total(F.slice(x, i - i % BLOCK + 1, i % BLOCK)))
+
+    some = let(values, lambda x: let(let(blocks(x), before), lambda sums: each(x, sums)))
+    return F.when(F.size(values) > 0, some).otherwise(F.array().cast("array<int>"))
+
+
 def matches(text: Column, pattern: str) -> Column:
     """Array of (start, end, value) of all matches, and the text on either side of each: before, after."""
-    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    rows = F.zip_with(
-        F.arrays_zip(found.alias("value"), F.slice(gaps, 1, F.size(found)).alias("before")), F.slice(gaps, 2, F.size(found)),
-        lambda x, after: F.struct(x["value"].alias("value"), x["before"].alias("before"), after.alias("after")),
-    )
-    step = F.aggregate(
-        rows, F.struct(F.lit(0).alias("at"), F.lit(None).cast("array<struct<start:int,end:int,value:string,before:string,after:string>>").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["before"]) + F.length(x["value"])).alias("at"),
-            F.concat(
-                F.coalesce(acc["out"], F.array().cast("array<struct<start:int,end:int,value:string,before:string,after:string>>")),
-                F.array(F.struct(
-                    (acc["at"] + F.length(x["before"])).alias("start"), (acc["at"] + F.length(x["before"]) + F.length(x["value"])).alias("end"),
-                    x["value"].alias("value"), F.substring(x["before"], -CONTEXT, CONTEXT).alias("before"), F.substring(x["after"], 1, CONTEXT).alias("after"),
-                )),
-            ).alias("out"),
-        ),
-    )["out"]
-    return F.when(text.rlike(_GUARDS[pattern]), step)
+    found = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("values"), F.split(text, pattern, -1).alias("gaps"))
+
+    def placed(m: Column) -> Column:
+        values, gaps = m["values"], m["gaps"]
+        steps = F.zip_with(values, F.slice(gaps, F.lit(1), F.size(values)), lambda value, gap: F.length(gap) + F.length(value))
+        return let(steps, lambda x: let(_sums_before(x), lambda at: F.transform(values, lambda value, i: match(value, F.get(gaps, i), F.get(gaps, i + 1), F.get(at, i)))))
+
+    def match(value: Column, before: Column, after: Column, at: Column) -> Column:
+        start = at + F.length(before)
+        return F.struct(
+            start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"),
+            F.substring(before, -CONTEXT, CONTEXT).alias("before"), F.substring(after, 1, CONTEXT).alias("after"),
+        )
+
+    return F.when(text.rlike(_GUARDS[pattern]), let(found, placed))
 
 
 def _plain(found: Column, good) -> Column:

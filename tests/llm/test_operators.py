@@ -189,6 +189,19 @@ def test_components_of_a_long_chain(spark):
     assert got == {**{i: 0 for i in range(71)}, 100: 100, 200: 100}
 
 
+# places of matches
+
+
+def test_places_of_many_matches(spark):
+    from sightline.llm import pii
+
+    texts = [" ".join(f"tök{i}x" for i in range(n)) for n in (0, 1, 63, 64, 65, 129, 30_000)] + [None, "no match"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", pii.matches(F.col("t"), pii._TOKEN).alias("m")).collect()
+    for r in rows:
+        found = [(x.start, x.end, x.value) for x in r.m or []]
+        assert found == [(m.start(), m.end(), m[0]) for m in re.finditer(r"(?<![A-Za-z0-9@._%+-])[A-Za-z._%+-]*[0-9@][A-Za-z0-9@._%+-]*", r.t or "")]
+
+
 # languages
 
 
