@@ -250,7 +250,7 @@ register("l1_stream_ingest_late", lambda t: _ingested(t, t.obs.where("listing_id
 
 def _decreases(t: Tables) -> DataFrame:
     out, state, checkpoint = jobs.folders(t.spark, "rents")
-    jobs.rent_decrease_stream(_stream(t, t.obs.coalesce(1), "obs"), out, state, checkpoint).awaitTermination()
+    jobs.rent_decrease_stream(_stream(t, t.obs, "obs"), out, state, checkpoint).awaitTermination()
     return t.spark.read.schema("obs_id bigint, listing_id bigint, rent_hkd int, prev_rent int").parquet(f"{out}/batch=*")
 
 

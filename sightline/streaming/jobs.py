@@ -1,15 +1,14 @@
 """Structured Streaming jobs over landed observations and completed runs.
 
-State that has to split hot keys or join whole tables is a versioned table: the
-batch ``n`` reads version ``n - 1`` and overwrites version ``n``, so a repeated
-batch gives the same result.
+State that has to split hot keys or join whole tables is a table in parts (``PartedState``): batch ``n`` reads the parts
+it touches as they were before it and writes these under ``v=n``, so a repeated batch gives the same result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -21,6 +20,8 @@ STATE = """source_key string, source_site string, listing_id bigint, source_url
 first_seen_at timestamp, last_seen_at timestamp, first_missing_at timestamp, missing_count bigint, active boolean,
 last_run_id int"""
 RENTS = "listing_id bigint, rent int"
+#: Parts of a state.
+PARTS = 64
 
 
 def ingest(
@@ -70,8 +71,41 @@ def known_keys(spark: SparkSession, out: str, batch_id: int, runs: list[int]) ->
     return wanted.select(F.col("source_key").alias("_key"), F.col("run_id").alias("_run")).distinct()
 
 
-def _version(spark: SparkSession, folder: str, batch_id: int, schema: str) -> DataFrame:
-    return spark.read.schema(schema).parquet(f"{folder}/v={batch_id - 1}") if batch_id else spark.createDataFrame([], schema)
+class PartedState:
+    """State in parts by a hash of its key. A batch reads and writes the parts it touches; the others stay where they are.
+
+    ``index/v=n`` says, for each part, which batch up to ``n`` wrote it last; a batch that is repeated reads the index before its own and
+    overwrites what it wrote. There are ``PARTS`` parts at most.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, schema: str, key: str) -> None:
+        self.spark, self.folder, self.schema, self.key = spark, folder, schema, key
+
+    def part(self) -> Column:
+        return F.pmod(F.xxhash64(self.key), F.lit(PARTS)).cast("int")
+
+    def touched(self, rows: DataFrame) -> list[int]:
+        return sorted(r.part for r in rows.select(self.part().alias("part")).distinct().collect())
+
+    def versions(self, batch_id: int) -> dict[int, int]:
+        """The batch before ``batch_id`` that wrote each part."""
+        if not batch_id:
+            return {}
+        return {r.part: r.batch for r in self.spark.read.schema("part int, batch long").parquet(f"{self.folder}/index/v={batch_id - 1}").collect()}
+
+    def read(self, batch_id: int, parts: list[int] | None = None) -> DataFrame:
+        """State before a batch: of some parts, or all."""
+        known = self.versions(batch_id)
+        paths = [f"{self.folder}/v={v}/part={p}" for p, v in known.items() if parts is None or p in parts]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+
+    def write(self, batch_id: int, rows: DataFrame, parts: list[int]) -> None:
+        """State of the touched parts after a batch."""
+        path = f"{self.folder}/v={batch_id}"
+        rows.withColumn("part", self.part()).write.mode("overwrite").partitionBy("part").parquet(path)
+        filled = {r.part for r in self.spark.read.schema(self.schema + ", part int").parquet(path).select("part").distinct().collect()}
+        index = {p: v for p, v in self.versions(batch_id).items() if p not in parts} | dict.fromkeys(filled, batch_id)
+        self.spark.createDataFrame(list(index.items()), "part int, batch long").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/index/v={batch_id}")
 
 
 def _each(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
@@ -82,15 +116,16 @@ def rent_decrease_stream(observations: DataFrame, out: str, state: str, checkpoi
     """Rent decreases of listings as they arrive, with the last rent of every listing as state."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         rows = batch.select("obs_id", "run_id", "listing_id", "seen_at", "source_key", "rent_hkd").persist()
-        old = _version(spark, state, batch_id, RENTS)
-        down = history.rent_decreases(rows, "listing_id", initial=old)
+        held = PartedState(batch.sparkSession, state, RENTS, "listing_id")
+        parts = held.touched(rows)
+        old = held.read(batch_id, parts)
+        down = history.rent_decreases(rows, "listing_id", initial=old.join(rows.select("listing_id").distinct(), "listing_id", "left_semi"))
         down.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
         order = F.struct("run_id", "obs_id")
         last = rows.groupBy("listing_id").agg(F.max_by("rent_hkd", F.when(F.col("rent_hkd") != 0, order)).alias("now"))
         new = old.join(last, "listing_id", "full_outer").select("listing_id", F.coalesce("now", "rent").alias("rent"))
-        new.write.mode("overwrite").parquet(f"{state}/v={batch_id}")
+        held.write(batch_id, new, parts)
         rows.unpersist()
 
     return _each(observations, step, checkpoint)
@@ -99,15 +134,19 @@ def rent_decrease_stream(observations: DataFrame, out: str, state: str, checkpoi
 def missing_stream(completed: DataFrame, log: Callable[[SparkSession], DataFrame], state: str, checkpoint: str) -> StreamingQuery:
     """Source state after every completed run. Only a completed run proves that a record is gone.
 
-    ``completed`` is a stream of site_runs rows; ``log`` reads the observation log.
+    ``completed`` is a stream of site_runs rows; ``log`` reads the observation log, of which only the runs of a batch are used: a log in
+    folders per run is read in part. The state of sources without a run in the batch is left as it is.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         runs = batch.select("source_site", "run_id", "started_at", "eligible").persist()
-        rows = lookup_join(log(spark), runs.select("source_site", "run_id"), ["source_site", "run_id"], "inner", "source_key")
-        new = lifecycle.merge_state(_version(spark, state, batch_id, STATE), rows, runs)
-        new.write.mode("overwrite").parquet(f"{state}/v={batch_id}")
+        held = PartedState(spark, state, STATE, "source_site")
+        parts = held.touched(runs)
+        numbers = [r.run_id for r in runs.select("run_id").distinct().collect()]  # the runs of one batch
+        seen = log(spark).where(F.col("run_id").isin(numbers))
+        rows = lookup_join(seen, runs.select("source_site", "run_id"), ["source_site", "run_id"], "inner", "source_key")
+        held.write(batch_id, lifecycle.merge_state(held.read(batch_id, parts), rows, runs), parts)
         runs.unpersist()
 
     return _each(completed, step, checkpoint)
@@ -124,7 +163,7 @@ def rebuild_late(state: DataFrame, late: DataFrame, log: DataFrame, site_runs: D
 def latest_version(spark: SparkSession, folder: str, query: StreamingQuery, schema: str) -> DataFrame:
     """State after the last batch of a finished query; one that saw no data has none."""
     last = query.lastProgress
-    return spark.read.schema(schema).parquet(f"{folder}/v={last.batchId}") if last else spark.createDataFrame([], schema)
+    return PartedState(spark, folder, schema, "").read(last.batchId + 1) if last else spark.createDataFrame([], schema)
 
 
 def folders(spark: SparkSession, name: str) -> tuple[str, str, str]:

@@ -46,6 +46,25 @@ def test_missing_stream_over_batches(spark, tables):
     assert sorted(map(str, got.collect())) == sorted(map(str, want.select(*got.columns).collect()))
 
 
+def test_a_batch_writes_the_parts_it_touches(spark):
+    from sightline.session import new_path
+
+    held = jobs.PartedState(spark, new_path(spark, "state"), jobs.RENTS, "listing_id")
+    first = spark.createDataFrame([(i, i) for i in range(300)], jobs.RENTS)
+    held.write(0, first, held.touched(first))
+    change = spark.createDataFrame([(7, 70), (300, 5)], jobs.RENTS)
+    parts = held.touched(change)
+    assert len(parts) <= 2 and held.read(1, parts).count() < 30
+    for _ in range(2):  # a repeated batch
+        old = held.read(1, parts)
+        held.write(1, old.join(change, "listing_id", "left_anti").unionByName(change), parts)
+    got = {r.listing_id: r.rent for r in held.read(2).collect()}
+    assert got == {**{i: i for i in range(300)}, 7: 70, 300: 5}
+    assert set(held.versions(2).values()) == {0, 1}
+    held.write(2, first.limit(0), parts)
+    assert not set(parts) & set(held.versions(3)) and held.read(3, parts).count() == 0
+
+
 def test_repeated_batch_gives_the_same_state(spark, tables):
     out, state, checkpoint = jobs.folders(spark, "again")
     stream, path = landed(spark, tables.obs, SPANS[:1], "obs")
