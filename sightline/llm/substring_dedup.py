@@ -15,10 +15,11 @@ consecutive words of one document; its nodes are the K - 1 words at either end.
 4. *Verification.* Each span is read again at its own and at its source coordinates, and the SHA-256 of both word runs is
    compared. Spans that differ (colliding hashes) are taken out and the documents are computed again.
 
-A word is removed if a window covers it whose words also start earlier: at a smaller doc_id, or earlier in the same
-document. Windows are judged on the input. Defined results: a null text has no words; a null doc_id ranks after all
-others; rows that repeat a doc_id are one coordinate, and so do not remove each other; an empty table gives no rows;
-other columns are not read.
+A word is removed if a window covers it whose words also start earlier: in a row that ranks before, or earlier in the same
+one. Rows rank by doc_id. Windows are judged on the input. Defined results: a null text has no words; a null doc_id ranks after all
+others; rows that share a doc_id or have none rank among each other by a hash of their text, so of equal rows one stays; an empty table
+gives no rows; other columns are not read. Where ids are missing or repeated, rows are first numbered in that order, in a written
+table; otherwise the ids are the numbers.
 """
 
 from __future__ import annotations
@@ -41,7 +42,6 @@ K = 20
 M = 8
 #: Windows that a task gathers before it sends them.
 FLUSH = 1 << 21
-NULL_ID = (1 << 63) - 1
 _TABLE = whitespace_table()
 _PATHS = "doc long, start long, n long, source long, source_start long"
 
@@ -276,7 +276,19 @@ def remove_spans(docs: DataFrame, spans: DataFrame, only: DataFrame | None = Non
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256."""
-    docs = columns_of(docs, doc=id_col, text=text_col).withColumn("doc", F.coalesce("doc", F.lit(NULL_ID)))
+    docs = columns_of(docs, doc=id_col, text=text_col).withColumn("doc", F.col("doc").cast("long"))
+    odd = docs.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1 or doc is null")
+    if odd.isEmpty():
+        return _removed_from(docs).withColumnRenamed("doc", "doc_id")
+    order = [F.asc_nulls_last("doc"), F.xxhash64("text")]
+    placed = docs.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
+    rows = cut(placed.select(F.monotonically_increasing_id().alias("row"), F.col("doc").alias("doc_id"), "text"), "rows")  # numbers rise with the order
+    done = _removed_from(rows.select(F.col("row").alias("doc"), "text"))
+    return rows.select(F.col("row").alias("doc"), "doc_id").join(done, "doc").drop("doc")
+
+
+def _removed_from(docs: DataFrame) -> DataFrame:
+    """doc, n_words, n_removed, kept_sha256 of documents with numbers that none shares."""
     spans = cut(compact(repeated_paths(docs)), "spans")
     done = fresh = cut(remove_spans(docs, spans), "kept")
     while not (differ := _differing(fresh)).isEmpty():
@@ -285,7 +297,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         spans = cut(_without(spans.join(redo, "doc", "left_semi"), differ), "spans")
         fresh = cut(remove_spans(docs, spans, redo), "kept")
         done = cut(done.join(redo, "doc", "left_anti").unionByName(fresh.join(redo, "doc", "left_semi")), "kept")
-    return done.select(F.when(F.col("doc") != NULL_ID, F.col("doc")).alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+    return done.select("doc", "n_words", "n_removed", "kept_sha256")
 
 
 def _differing(done: DataFrame) -> DataFrame:
