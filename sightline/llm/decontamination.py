@@ -14,9 +14,10 @@ or above the threshold are returned; nothing is cut to a top k.
 at least ``OVERLAP`` of the question's word 5-grams, and as large a share of the answer's.
 
 The index is built from at most ``SLICE`` items at a time and sent to the tasks; a larger benchmark takes one pass per
-slice over the corpus. Defined results: items of fewer than five words are not searched, as chance would find
-them; null texts hold nothing; repeated rows give repeated hits; an empty table on either side gives no rows; other
-columns are not read.
+slice over the corpus. Items of fewer than ``GRAM`` words have no grams; they are hits where a text holds all of their words one after the
+other, with overlaps of 1 and no score. Defined results: null texts hold nothing; items without a word, a text or an item_id are not searched;
+rows that share a doc_id are counted together, so equal rows give one hit with the passages of all; an empty table on either side gives
+no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -141,8 +142,36 @@ def search(index: Index, passage: np.ndarray, term: np.ndarray, threshold: float
     return names[rank[good]], item[good], score[good]
 
 
-def _hits(index: Index, threshold: float, overlap: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    step = index.longest
+def short_items(items: list[tuple[int, str]]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Items of fewer than GRAM words, by their number of words: sorted hashes of the whole word sequence, and the items."""
+    found: dict[int, list[tuple[int, int]]] = {}
+    for item, text in items:
+        if 0 < len(codes := _codes(text)) < GRAM:
+            found.setdefault(len(codes), []).append((int(rolling(codes, len(codes))[0]), item))
+    out = {}
+    for k, rows in found.items():
+        codes, ids = zip(*sorted(rows), strict=True)
+        out[k] = np.array(codes, U64), np.array(ids, np.int64)
+    return out
+
+
+def _whole(short: dict[int, tuple[np.ndarray, np.ndarray]], chunk: Chunk) -> list[tuple]:
+    """Short items that a text holds word for word, at each place."""
+    found, out = words(chunk, _TABLE), []
+    for k, (codes, items) in short.items():
+        here = rolling(found.code, k)
+        inside = found.text[: len(here)] == found.text[k - 1 :] if len(here) else np.zeros(0, bool)
+        first, last = np.searchsorted(codes, here, "left"), np.searchsorted(codes, here, "right")
+        for at in np.flatnonzero(inside & (last > first)):
+            text = int(found.text[at])
+            out += [(text, int(item), int(at - found.first[text]), None, 1.0, 1.0) for item in items[first[at] : last[at]]]
+    return out
+
+
+def _hits(
+    index: Index | None, short: dict[int, tuple[np.ndarray, np.ndarray]], threshold: float, overlap: float
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    step = index.longest if index is not None else 0
     names = ["doc_id", "item_id", "start_word", "score", "question_overlap", "answer_overlap"]
 
     def of_chunk(chunk: Chunk) -> list[tuple]:
@@ -178,9 +207,10 @@ def _hits(index: Index, threshold: float, overlap: float) -> Callable[[Iterator[
         for batch in batches:
             ids = batch.column("doc_id")
             for chunk in chunks(batch.column("text")):
-                if rows := of_chunk(chunk):
+                if rows := (of_chunk(chunk) if index is not None else []) + (_whole(short, chunk) if short else []):
                     text, *rest = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(chunk.first + np.array(text))), *map(pa.array, rest)], names=names)
+                    columns = [pa.array(x, t) for x, t in zip(rest, [pa.int64(), pa.int64(), *[pa.float64()] * 3], strict=True)]
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(chunk.first + np.array(text))), *columns], names=names)
 
     return run
 
@@ -209,9 +239,10 @@ def decontaminate(
     schema = "doc_id long, item_id long, start_word long, score double, question_overlap double, answer_overlap double"
     found = None
     for part in kept:
-        index = build_index([tuple(r) for r in part.collect()], frequency, n, max(total / max(n, 1), 1.0))
-        if index is not None:
-            hits = docs.mapInArrow(_hits(index, threshold, overlap), schema)
+        some = [tuple(r) for r in part.collect()]
+        index, short = build_index(some, frequency, n, max(total / max(n, 1), 1.0)), short_items(some)
+        if index is not None or short:
+            hits = docs.mapInArrow(_hits(index, short, threshold, overlap), schema)
             found = hits if found is None else found.unionByName(hits)
     if found is None:
         found = docs.sparkSession.createDataFrame([], schema)

@@ -254,6 +254,15 @@ def test_substring_dedup_null_ids_rank_last(spark):
     assert {r.doc_id: r.n_removed for r in substring_dedup(docs).collect()} == {None: 30, 4: 0}
 
 
+def test_substring_dedup_null_and_repeated_ids(spark):
+    from sightline.llm.substring_dedup import substring_dedup
+
+    a, b, c, tail = (prose(i, 60) for i in range(1, 5))
+    rows = [(None, a), (None, b), (3, b), (5, c), (5, prose(9, 60)), (9, c + " " + tail), (7, tail), (7, tail), (None, None)]
+    got = Counter((r.doc_id, r.n_words, r.n_removed) for r in substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert got == {(None, 60, 0): 1, (None, 60, 60): 1, (3, 60, 0): 1, (5, 60, 0): 2, (9, 120, 120): 1, (7, 60, 0): 1, (7, 60, 60): 1, (None, 0, 0): 1}
+
+
 def test_colliding_hashes_are_caught(spark, monkeypatch):
     from sightline.llm import substring_dedup as op
 
@@ -278,6 +287,15 @@ def test_decontamination_against_brute_force(spark):
     assert got == {(10 + i, i) for i in range(20)}
 
 
+def test_items_below_five_words_are_found_word_for_word(spark):
+    from sightline.llm.decontamination import decontaminate
+
+    items = [(1, "Blue whales sing low"), (2, "blue whales"), (3, "sing low blue"), (4, "BLUE  whales, sing low!")]
+    texts = ["x blue whales sing low y", "blue whales", "blue. whales sing; low: blue whales", "whales blue", "blue", None]
+    got = {(r.doc_id, r.item_id): (r.n_passages, r.question_overlap) for r in decontaminate(documents(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(0, 1): (1, 1.0), (0, 2): (1, 1.0), (0, 4): (1, 1.0), (1, 2): (1, 1.0), (2, 1): (1, 1.0), (2, 2): (2, 1.0), (2, 3): (1, 1.0), (2, 4): (1, 1.0)}
+
+
 def test_block_max_search_finds_all_scores(spark):
     from sightline.llm import decontamination as op
 
