@@ -47,8 +47,8 @@ from sightline.session import cut
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 26, 5
-ROUNDS = 3
-DEEP_BANDS, DEEP_ROWS, DEEP_ROUNDS = 32, 8, 3
+ROUNDS = 2
+DEEP_BANDS, DEEP_ROWS, DEEP_ROUNDS = 32, 8, 2
 SMALL = 16
 _TABLE = letter_table()
 
