@@ -10,8 +10,7 @@ shingle; texts with an empty slot are carried on, until none has any.
 
 *Banding.* ``BANDS`` bands of ``ROWS`` slots. Documents with equal multisets are one node from here on. In each bucket of a
 band every node is tested against the smallest node of the bucket, each node first against the smallest of all these
-(round 1), then against the others in whose class it is not yet (round 2), then the classes that still meet in a
-bucket against each other by another order of the nodes (rounds 3 to ``ROUNDS``). Nodes that still meet another class in a
+(round 1), then against the others in whose class it is not yet (round 2). Nodes that still meet another class in a
 bucket of three or more get signatures of other slots, in ``DEEP_BANDS`` bands of ``DEEP_ROWS``, which split the large buckets into parts
 of more alike texts: there every node is tested against the first of its part, and all pairs of a part of at most ``SMALL``
 nodes, ``DEEP_ROUNDS`` times with slots of their own. All these rounds only save work, by joining classes early; they leave
