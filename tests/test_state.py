@@ -228,6 +228,22 @@ def test_resolution_literals(spark):
         assert (later[2 * n + 1] == 2 * n) is same, n
 
 
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_matching_broadcasts_no_side_that_grows(spark):
+    rows = M.with_fields(spark.createDataFrame(units(5, 60), UNIT))
+    listing = rows.withColumns({"listing_id": F.col("id"), "active": F.lit(True), "last_seen_at": F.lit(DAY)})
+    keyed = rows.withColumns({"source_key": F.col("id").cast("string"), "identity_key": F.col("f_estate")})
+    found = [
+        M.match_summary(rows, "id"), M.best_candidate(rows, listing), M.known_source(keyed, keyed.withColumn("listing_id", F.col("id"))),
+        M.same_identity(keyed, listing.withColumn("identity_key", F.col("f_estate"))),
+    ]
+    for df in found:
+        assert "Broadcast" not in _plan(df)
+
+
 def test_missing_gate(spark):
     rows = [("initial", 0, 5), ("daily", 1, 5), ("daily", 0, 0), ("daily", 0, 1)]
     df = spark.createDataFrame(rows, "mode string, errors int, n int")
