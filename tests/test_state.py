@@ -244,6 +244,13 @@ def test_matching_broadcasts_no_side_that_grows(spark):
         assert "Broadcast" not in _plan(df)
 
 
+def test_rents_and_listings_broadcast_no_side_that_grows(spark):
+    obs = spark.createDataFrame(log(), OBS)
+    named = obs.groupBy("listing_id").agg(F.struct(F.min("estate_name").alias("estate_name"), F.min("source_key").alias("source_key")).alias("created"))
+    for df in (H.previous_rent(obs), H.with_identity(named)):
+        assert "Broadcast" not in _plan(df)
+
+
 def test_missing_gate(spark):
     rows = [("initial", 0, 5), ("daily", 1, 5), ("daily", 0, 0), ("daily", 0, 1)]
     df = spark.createDataFrame(rows, "mode string, errors int, n int")
