@@ -168,3 +168,12 @@ def test_removed_listings_are_those_that_went(spark):
 
     now, before = (spark.createDataFrame([(i,) for i in ids], "listing_id bigint") for ids in ([2, 3], [1, 2]))
     assert [r.listing_id for r in reports.removed_listings(now, before).collect()] == [1]
+
+
+def test_parts_are_parsed_in_as_many_tasks_as_there_are_cores(spark, tables):
+    """The file of parts is one split, however many of its narrow rows there are."""
+    cores = spark.sparkContext.defaultParallelism
+    assert tables.table("part").rdd.getNumPartitions() < cores
+    for df in (tables.cards, tables.props, tables.units):
+        sizes = [n for n in df.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
+        assert len(sizes) >= cores and max(sizes) <= sum(sizes) / 3
