@@ -256,11 +256,13 @@ def _overlapping(nodes: DataFrame, texts: DataFrame, threshold: float) -> DataFr
     the first y - 2 t y / (1 + t) + 1 of the other, and that many shingles from the first shared one on in both.
     """
     counts = cut(texts.join(nodes.select("node"), "node").mapInArrow(_counted, "node long, code long, weight long, size long"), "counts")
-    common = counts.groupBy("code").agg(F.count("*").alias("n")).where("n > 1")
-    ordered = Window.partitionBy("node").orderBy(F.coalesce("n", F.lit(1)), "code").rowsBetween(Window.unboundedPreceding, -1)
+    # an edit makes several shingles that the same texts hold: these stand next to each other in the order and count as one
+    common = counts.groupBy("code").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("holders")).where("n > 1")
+    ordered = Window.partitionBy("node").orderBy(F.coalesce("n", F.lit(1)), "holders", "code").rowsBetween(Window.unboundedPreceding, -1)
     left = F.col("size") - F.coalesce(F.sum("weight").over(ordered), F.lit(0))
     part, slack = 2 * threshold / (1 + threshold), 1e-6  # of rounding
     first = counts.join(common, "code", "left").withColumn("left", left).where((F.col("n") > 1) & (F.col("left") >= threshold * F.col("size") - slack))
+    first = first.groupBy("node", "size", F.col("holders").alias("code")).agg(F.max("left").alias("left"))
     first = cut(first.join(nodes, "node").select("code", "class", "node", "size", "left"), "prefixes")
     long_ = first.toDF("code", "class_a", "a", "size_a", "left_a")
     short = first.where(F.col("left") >= part * F.col("size") - slack).toDF("code", "class_b", "b", "size_b", "left_b")
