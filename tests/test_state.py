@@ -245,6 +245,24 @@ def test_matching_broadcasts_no_side_that_grows(spark):
         assert "Broadcast" not in _plan(df)
 
 
+def test_neighbours_broadcast_no_side_that_grows(spark):
+    from types import SimpleNamespace
+
+    from checks.state_queries import _neighbours
+
+    rows = units(7, 80)
+    want = set()
+    for field in range(1, 6):
+        for value in {r[field] for r in rows} - {None}:
+            near = sorted((r for r in rows if r[field] == value), key=lambda r: (r[7] or 0, r[0]))
+            want |= {(a[0], b[0], strict(a, b)) for n, a in enumerate(near) for b in near[n + 1 : n + 3]}
+    found = _neighbours(SimpleNamespace(units=cut(spark.createDataFrame(rows, UNIT))))  # files have a size to guess from
+    assert "Broadcast" not in _plan(found)
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(want) and set(got) == want and {True, False} == {r[2] for r in got}
+    assert "Broadcast" not in _plan(found)  # as it ran
+
+
 def test_rents_and_listings_broadcast_no_side_that_grows(spark):
     obs = cut(spark.createDataFrame(log(), OBS))  # files have a size to guess from
     named = obs.groupBy("listing_id").agg(F.struct(F.min("estate_name").alias("estate_name"), F.min("source_key").alias("source_key")).alias("created"))
