@@ -36,7 +36,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sightline.llm.common import columns_of, partitions, vocabulary_file
+from sightline.llm import common
+from sightline.llm.common import columns_of, partitions
 from sightline.llm.store import store
 from sightline.llm.tokens import chunks
 from sightline.session import cut, new_path
@@ -58,6 +59,10 @@ _MARK = "<|startoftext|>"
 LENGTHS = (np.arange(256)[:, None] >> np.arange(0, 8, 2) & 3) + 1
 
 
+def vocabulary_file(name: str = TOKENIZER) -> str:
+    return common.vocabulary_file(name)
+
+
 class WordEncoder:
     """Ids of texts, by words where the tokenizer drops white space."""
 
